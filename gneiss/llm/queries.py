@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, multiindex, packing, permindex, pii, simhash
+from . import katz, langid, mixing, multiindex, packing, permindex, pii, simhash
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -46,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_multiindex": op3_multiindex, "op8_permindex": op8_permindex, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_mixing": op7_mixing, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    return {"op3_multiindex": op3_multiindex, "op8_permindex": op8_permindex, "op4_pii": op4_pii, "op5_langid": op5_langid, "op6_katz": op6_katz, "op7_mixing": op7_mixing, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
