@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, langid, mixing, multiindex, packing, permindex, pii, simhash
+from . import cotrain, katz, langid, licenses, mixing, multiindex, packing, permindex, pii, simhash
 from .common import read
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return cotrain.score(docs, cotrain.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def op3_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
 
@@ -50,8 +59,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_multiindex": op3_multiindex, "op8_permindex": op8_permindex, "op4_pii": op4_pii, "op5_langid": op5_langid, "op6_katz": op6_katz, "op7_mixing": op7_mixing, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    ops = (op1_licenses, op2_cotrain, op3_multiindex, op4_pii, op5_langid, op6_katz, op7_mixing, op8_permindex, op9_packing, op10_simhash)
+    return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.scan_sql()}
