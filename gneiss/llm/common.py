@@ -62,3 +62,8 @@ def ascii_lower(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def keyed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder with a row number ``key`` that rereads alike."""
+    return cut(df.withColumn(key, F.monotonically_increasing_id()), name)

@@ -244,16 +244,17 @@ def spans(text: str, model: LanguageModel, penalty: float = 6.0) -> list[tuple[i
     return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col: str = "doc_id", text_col: str = "text", words_at_once: int = 400_000) -> DataFrame:
-    """``(doc_id, lang_pred, score, n_spans)``: the language with the most letters among the labelled spans, and its share."""
+def predict(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col: str = "doc_id", text_col: str = "text", words_at_once: int = 400_000, keep: bool = False) -> DataFrame:
+    """``(doc_id, lang_pred, score, n_spans)``: the language with the most letters among the labelled
+    spans, and its share. With ``keep``, ``row`` holds the input's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         scorer = Scorer(model)
 
-        def flush(ids: list, words: list[str], counts: list[int]) -> pa.RecordBatch:
-            n_lang, n = len(model.langs), len(ids)
+        def flush(rows: pa.RecordBatch, words: list[str], counts: list[int]) -> pa.RecordBatch:
+            n_lang, n = len(model.langs), rows.num_rows
             share, switches = np.zeros((n, max(1, n_lang))), np.zeros(n, np.int64)
             if words and n_lang:
                 score, of = scorer(words), np.repeat(np.arange(n), counts)
@@ -269,22 +270,25 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col:
             best = share.argmax(axis=1)
             names = [model.langs[b] if t else "und" for b, t in zip(best, total, strict=True)]
             part = share[np.arange(n), best] / np.maximum(total, 1)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(part, pa.float64()), pa.array(switches, pa.int32())], ["doc_id", "lang_pred", "score", "n_spans"])
+            own = [rows.column(0), *([rows.column(2)] if keep else [])]
+            return pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(part, pa.float64()), pa.array(switches, pa.int32())], ["doc_id", *(["row"] if keep else []), "lang_pred", "score", "n_spans"])
 
-        ids, words, counts = [], [], []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words, counts, start = [], [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 own = WORD.findall(text.lower()) if text else []
-                ids.append(doc)
                 words += own
                 counts.append(len(own))
-                if len(words) >= words_at_once or len(ids) >= 20_000:
-                    yield flush(ids, words, counts)
-                    ids, words, counts = [], [], []
-        if ids:
-            yield flush(ids, words, counts)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans int")
+                if len(words) >= words_at_once or i == batch.num_rows - 1:
+                    yield flush(batch.slice(start, i + 1 - start), words, counts)
+                    words, counts, start = [], [], i + 1
+
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    schema = "doc_id long, lang_pred string, score double, n_spans int"
+    if keep:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        schema = f"doc_id long, row {docs.select(columns[-1]).schema['row'].dataType.simpleString()}, lang_pred string, score double, n_spans int"
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def held_out(doc_id) -> object:
