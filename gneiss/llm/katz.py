@@ -353,7 +353,7 @@ def backoff(stats: dict, star: list[float]):
     return np.log10(np.maximum(seen - kept, 1e-12) / np.maximum(1 - stats["mass"], 1e-12))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_400_000, deal_tokens: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document."""
     import numpy as np
 
@@ -375,7 +375,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     parts = max(1, -(-total * 7 // 6 // block_tokens))
     # at most four words per partition can be that frequent
     hot = np.array([r["h"] for r in words.where(F.col("n") > total / (4 * parts)).select("h").collect()], np.int64).view(np.uint64) if parts > 1 else np.zeros(0, np.uint64)
-    blocks = docs.mapInArrow(_deal(hot, parts, block_tokens), BLOB).unionByName(words.mapInArrow(_words_of(hot, parts), BLOB))
+    blocks = docs.mapInArrow(_deal(hot, parts, deal_tokens), BLOB).unionByName(words.mapInArrow(_words_of(hot, parts), BLOB))
     counted = blocks.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_count(unigram, hot, parts, parts), BLOB)
     table = cut(counted.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_gather(), BLOB), "katz-tables", partition_by="kind")
     drop_shuffles(spark)
@@ -402,22 +402,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                     e = np.repeat(b["e"], b["n"]).view(np.int64)
                     at = np.minimum(np.searchsorted(hot_h, e), max(0, len(hot_h) - 1))
                     chunk, value = b["chunks"][b["chunk"]], np.where(hot_h[at] == e, hot_weight[at], 0.0) if len(hot_h) else np.zeros(len(e))
-                if len(value):
-                    key, (sums,) = _grouped(chunk * (1 << 22) + b["doc"], [value])
-                    yield pa.RecordBatch.from_arrays([pa.array(key >> 22), pa.array((key & ((1 << 22) - 1)).astype(np.int32)), pa.array(sums)], ["chunk", "doc", "more"])
+                doc, order = b["doc"], chunk.argsort(kind="stable")
+                edges = [0, *(np.flatnonzero(np.diff(chunk[order])) + 1), len(order)]
+                out = []
+                for s, e in zip(edges, edges[1:]):
+                    if s < e:
+                        at, (sums,) = _grouped(doc[order[s:e]], [value[order[s:e]]])
+                        out.append((0, 6, int(chunk[order[s]]), _pack(doc=at, more=sums)))
+                for i in range(0, len(out), 64):
+                    yield _rows(out[i : i + 64])
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by chunk: its documents' sums, then what contexts add to them."""
         start = np.log10(texts) if texts else 0.0
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+        def done(b: dict, value) -> pa.RecordBatch:
+            floor = b["base"] - b["size"] * np.log10(total + distinct + 1)
+            columns = [pa.array(b["ids"], mask=b["null"].astype(bool)), pa.array(~b["train"].astype(bool)), pa.array(b["size"]), pa.array(b["known"]), pa.array(floor), pa.array(value)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        now = value = None
         for batch in batches:
-            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 b = _unpack(blob.as_py())
-                value = b["part"] - start + sum(b[f"n{r}"] * np.log10(star2[r]) for r in range(1, CUT + 1))
-                floor = b["base"] - b["size"] * np.log10(total + distinct + 1)
-                n = len(value)
-                columns = [pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(b["ids"], mask=b["null"].astype(bool)), pa.array(~b["train"].astype(bool)), pa.array(b["size"]), pa.array(b["known"]), pa.array(floor), pa.array(value)]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    more = table.where("kind in (1, 3)").select("kind", "blob").mapInArrow(unseen, "chunk long, doc int, more double").groupBy("chunk", "doc").agg(F.sum("more").alias("more"))
-    own = table.where("kind = 0").select("chunk", "blob").mapInArrow(of_docs, "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    found = own.join(more, ["chunk", "doc"], "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    return found.select(*[x.split()[0] for x in schema.split(", ")])
+                if kind == 0:
+                    if now:
+                        yield done(now, value)
+                    now = b
+                    value = b["part"] - start + sum(b[f"n{r}"] * np.log10(star2[r]) for r in range(1, CUT + 1))
+                else:
+                    value[b["doc"]] += b["more"]
+        if now:
+            yield done(now, value)
+
+    more = table.where("kind in (1, 3)").select("kind", "blob").mapInArrow(unseen, BLOB)
+    own = table.where("kind = 0").select("p", "kind", "chunk", "blob").unionByName(more)
+    found = own.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(of_docs, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.withColumn("train_tokens", F.lit(total).cast("long")).select(*[x.split()[0] for x in schema.split(", ")])
