@@ -229,10 +229,10 @@ def _contents_lines(lines: Column) -> Column:
     return (F.size(lines) >= 8) & ((dotted >= 3) | ((dotted >= 1) & (numbered >= 6)))
 
 
-def is_contents_line(line: Column) -> Column:
-    """Dot leaders, or four words and a page number at the end."""
-    t = squeeze(line)
-    return t.rlike(r"\.{3,}\s*\d{1,4}$") | (t.rlike(r"\s\d{1,4}$") & (F.size(F.split(t, " ")) >= 5))
+def is_contents_line(text: Column) -> Column:
+    """Any line with dot leaders, or with four words and a page number at the end."""
+    lines = F.transform(F.split(clean_block(text), "\n"), squeeze)
+    return F.exists(lines, lambda x: x.rlike(r"\.{2,}|…{2,}|·{3,}") | (x.rlike(r"(?:\s|\.{2,}|…+)\d{1,4}\s*$") & (F.size(F.split(x, " ")) >= 4)))
 
 
 def repair_word_per_line(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.terms import normalize
-from ..operators import chunking, context, evaluation, fusion, lexical, report
+from ..operators import chunking, context, evaluation, fusion, layout, lexical, report
 from ..operators.dense import knn, knn_blocks
 from ..sources.readers import benchmark_queries, document_chunks, stored_vectors, table
 from ..sources.sinks import upserted
@@ -328,6 +328,22 @@ def page_chunks(spark, d):
     return chunking.chunk_pages(_pages(spark, d)).select("document", "page", "chunk_id", "section", "local_heading", "estimated_tokens", "completeness")
 
 
+def _layout(spark, d):
+    """Every document as a file of one page, its lines as blocks without boxes."""
+    blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(None).cast("array<double>").alias("bbox"), F.expr("cast(array() as array<struct<size:double,bold:boolean>>)").alias("spans")))
+    none = F.lit(None).cast("double")
+    tables = F.expr("cast(array() as array<struct<bbox:array<double>,rows:array<array<string>>>>)")
+    return layout.layout_chunks(document_chunks(spark, d).select(F.format_string("doc_%d.json", "chunk_id").alias("document"), F.lit(1).alias("page"), none.alias("width"), none.alias("height"), "text", blocks.alias("blocks"), tables.alias("tables")))
+
+
+def layout_chunks(spark, d):
+    return _layout(spark, d).select("document", "chunk_no", "chunk_id", "chunk_type", "section_id", "token_count", "recommendation_id", "grade_system")
+
+
+def layout_report(spark, d):
+    return layout.layout_report(_layout(spark, d)).select("document", "chunk_count", "under_30", "under_30_excluding_atomic", "median_tokens", "orphan_chunk_count")
+
+
 def family_distribution(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
 
@@ -340,6 +356,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         short_chunk_thresholds, orphan_reasons, semantic_completeness, text_quality_flags, chunk_role, reference_only_filter, token_estimate_bins, repeated_line_detection,
         heading_classification, page_line_filter, section_carry_forward, prev_next_links, stable_chunk_ids, context_assembly, citation_validation, out_of_scope_turns,
         minmax_relevance, mmr_top6, probability_rank, rerank_udf, terminology_exact_match, manifest_override, legacy_id_consume, vector_upsert, sentence_packing, page_chunks,
-        family_distribution,
+        layout_chunks, layout_report, family_distribution,
     )
     return {q.__name__: q for q in every}
