@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
+from .queries import GLOSSARY
 
 
 def _list(words) -> str:
@@ -68,6 +69,39 @@ TRACE = "trace as (select g.query_id, g.chunk_id, d.rank as dense_rank, l.rank a
 _ROLE = r"case when regexp_matches(text, '(?im)^\s*references\s*$') or ((len(regexp_extract_all(text, '(?i)\bdoi\s*:\s*10\.\d{4,9}/')) + len(regexp_extract_all(text, '(?i)\bhttps?://doi\.org/')) + len(regexp_extract_all(text, '(?i)\bpmid\s*[:.]?\s*\d+'))) >= 1 and len(regexp_extract_all(text, '\b(?:19|20)\d{2}\b')) >= 1) then 'reference' else 'clinical' end"
 _REFERENCE = f"(t = '' or (({' or '.join(f'''starts_with(lower(t), '{x}')''' for x in T.REFERENCE_LABELS)}) and ({' or '.join(f'''contains(lower(t), '{x}')''' for x in T.CITATION_SIGNALS)})))"
 
+_LOW = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
+_SCOPE = " or ".join(f"regexp_matches({_LOW}, '(^|[^\\p{{L}}\\p{{N}}_]){x[2:-2]}($|[^\\p{{L}}\\p{{N}}_])')" for x in T.OUT_OF_SCOPE)
+_MEDICATION = " or ".join(f"contains(lower(coalesce(text, '')), '{x}')" for x in T.MEDICATION_SIGNALS)
+_TERMS = ", ".join(f"('{term}', {i})" for i, (term, _) in enumerate(GLOSSARY))
+_LINE = r"replace(replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+EDGES = (
+    rf"ln as (select source as document, doc_id as page, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: {_LINE}), lambda x: x != '') as lines from documents), "
+    r"en as (select document, page, unnest(list_distinct(list_transform(list_filter(list_concat(lines[1:3], list_reverse(lines)[1:3]), lambda x: length(x) <= 180), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) as line from ln), "
+    "pg as (select source as document, count(*) as n_pages from documents group by 1)"
+)
+_SHARED = r"len(list_intersect(list_distinct(string_split_regex(trim(q.text), '\s+')), list_distinct(string_split_regex(trim(d.text), '\s+'))))"
+
+
+def _scaled(value: str, low: str, high: str) -> str:
+    return f"case when abs({high} - {low}) <= 1e-9 * greatest(abs({high}), abs({low})) then 1 else ({value} - {low}) / ({high} - {low}) end"
+
+
+def _mmr(picks: int) -> str:
+    # One step a pick: candidates of documents below the cap come first, then the best score.
+    steps = [
+        f"rel0 as (select p.query_id, p.chunk_id, p.rrf_rank, p.rrf_score, d.source as document_id, a.v, {_COS} as sem from pool p join documents d on d.doc_id = p.chunk_id join vecs a on a.vec_id = p.chunk_id join vecs b on b.vec_id = p.query_id)",
+        "mm as (select *, min(rrf_score) over w as l1, max(rrf_score) over w as h1, min(sem) over w as l2, max(sem) over w as h2 from rel0 window w as (partition by query_id))",
+        f"rel as materialized (select query_id, chunk_id, rrf_rank, document_id, v, 0.85::double * ({_scaled('rrf_score', 'l1', 'h1')}) + 0.15::double * ({_scaled('sem', 'l2', 'h2')}) as relevance from mm)",
+        "sel0 as (select query_id, chunk_id, document_id, v, 0 as selection_rank, relevance as mmr_score, relevance as redundancy from rel where false)",
+    ]
+    for k in range(1, picks + 1):
+        steps += [
+            f"c{k} as (select a.query_id, a.chunk_id, a.document_id, a.v, a.rrf_rank, a.relevance, count(*) filter (b.document_id = a.document_id) as used, coalesce((max({_COS}) + 1) / 2, 0) as redundancy from rel a left join sel{k - 1} b on b.query_id = a.query_id where not exists (select 1 from sel{k - 1} x where x.query_id = a.query_id and x.chunk_id = a.chunk_id) group by all)",
+            f"n{k} as (select *, 0.8::double * relevance - (1 - 0.8::double) * redundancy as mmr_score, row_number() over (partition by query_id order by used >= 2, 0.8::double * relevance - (1 - 0.8::double) * redundancy desc, rrf_rank) as rn from c{k})",
+            f"sel{k} as materialized (select * from sel{k - 1} union all select query_id, chunk_id, document_id, v, {k}, mmr_score, redundancy from n{k} where rn = 1)",
+        ]
+    return ", ".join(steps)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -112,5 +146,11 @@ def oracle_sql() -> dict[str, str]:
         "manifest_override": "select distinct source, case source when 'src1' then 'WHO' when 'src2' then 'NICE' end as doc_family, case source when 'src1' then 'World Health Organization' when 'src2' then 'NICE' end as organization, case source when 'src1' then 2020 end as year, source in ('src1', 'src2') as matched from documents",
         "legacy_id_consume": "with d as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents), p as (select lang, 'old_' || doc_id as legacy_chunk_id, row_number() over (partition by lang order by doc_id) as n from documents semi join labels using (doc_id)) select doc_id, legacy_chunk_id from d left join p using (lang, n)",
         "vector_upsert": "select case when label = 3 then -3 else label end as label, count(*) as n from embeddings group by 1",
+        "out_of_scope_turns": f"select conv_id, turn, {_MEDICATION} as medication, {_SCOPE} as out_of_scope from conversations",
+        "terminology_exact_match": f"with q as (select item_id as query_id, ' ' || regexp_replace(lower(translate(coalesce(text, ''), 'İI’', 'iı' || chr(39))), '[^a-zçğıöşü0-9]+', ' ', 'g') || ' ' as n from benchmark), t as (select * from (values {_TERMS}) t(term, term_pos)) select query_id, string_agg(term, ',' order by length(term) desc, term_pos) as terms from q join t on contains(n, ' ' || term || ' ') group by 1",
+        "rerank_udf": f"with {BASE}, s as (select p.query_id, p.chunk_id, p.rrf_rank, {_SHARED}::double as rerank_score from pool p join documents d on d.doc_id = p.chunk_id join benchmark q on q.item_id = p.query_id), r as (select *, row_number() over (partition by query_id order by rerank_score desc, rrf_rank) as rank from s) select query_id, chunk_id, rrf_rank as pre_rerank_rank, rank, rerank_score from r where rank <= 10",
+        "context_assembly": f"with {BASE}, {CHUNKS}, j as (select p.query_id, lower(t) as key, {_REFERENCE} as reference from pool p join ch using (chunk_id) where rrf_rank <= 6) select query_id, least(3, count(distinct key) filter (not reference)) as source_count, count(*) as input_count, count(*) filter (reference) as reference_filtered_count, count(*) filter (not reference) - count(distinct key) filter (not reference) as duplicate_filtered_count from j group by 1",
+        "repeated_line_detection": rf"with {EDGES}, c as (select document, line, count(*) as n from en group by all) select document, line from c join pg using (document) where n_pages >= 2 and n >= greatest(3, round_even(n_pages * 0.02::double, 0)::int) and length(line) >= 12 and contains(line, ' ') and not regexp_matches(line, '^[^\p{{L}}_\p{{M}}]+$')",
+        "mmr_top6": f"with {BM25}, {DENSE}, {_pool(40, 40, 1.0, 0.85, 40)}, {_mmr(6)} select query_id, selection_rank, chunk_id, document_id, mmr_score, redundancy from sel6",
         "family_distribution": "select source, count(*) as documents from documents group by 1",
     }
