@@ -138,7 +138,6 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 60
     import numpy as np
 
     truth = labels.where(f"doc_id is not null and `{label_col}` is not null").groupBy(F.col("doc_id").alias("id")).agg(F.round(F.avg(label_col)).alias("y"))
-    all_rows = docs.where("doc_id is not null").join(truth, F.col("doc_id") == F.col("id"), "left")
     ids = docs.where("doc_id is not null").select("doc_id").join(truth, F.col("doc_id") == F.col("id"), "left").agg(F.count("y"), F.count("*")).first()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(2), "doc_id"), 11) / F.lit(float(1 << 53))
     limit = F.when(F.col("y").isNotNull(), F.lit(min(1.0, labelled / max(1, ids[0])))).otherwise(F.lit(min(1.0, pool / max(1, ids[1] - ids[0]))))
@@ -150,7 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 60
 
     chosen = docs.where("doc_id is not null").select("doc_id").join(truth, F.col("doc_id") == F.col("id"), "left").where(draw < limit).select("doc_id", "y").distinct()
     rows = docs.select("doc_id", "text", "lang", "source").where(draw < max(min(1.0, labelled / max(1, ids[0])), min(1.0, pool / max(1, ids[1] - ids[0])))).join(chosen, "doc_id")
-    del all_rows
     found = rows.select("doc_id", "y", "text", "lang", "source").mapInArrow(run, "doc_id long, y double, a binary, b binary").orderBy(F.xxhash64(F.lit(7), "doc_id"), "a").toArrow()
     if not found.num_rows:
         return cotrain(np.zeros((0, STATS + WORDS)), np.zeros((0, META)), np.zeros(0))

@@ -63,5 +63,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {op.__name__: op for op in ops}
 
 
+#: All pairs of a label by cosine and the closure of the links, for tables whose vec_ids are unique.
+NEAR_VECTORS_SQL = """
+with recursive given as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and vec_id is not null and embedding is not null),
+valid as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from given where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(v, v) > 0),
+links as materialized (select a.vec_id as a, b.vec_id as b from valid a join valid b on a.label = b.label and a.vec_id != b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reach as (select vec_id, vec_id as other from embeddings union select r.vec_id, l.b from reach r join links l on r.other = l.a),
+counts as (select a as vec_id, count(*) as n from links group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from (select vec_id, min(other) as component_id from reach group by 1) left join counts using (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.scan_sql()}
+    return {"op1_licenses": licenses.scan_sql(), "op3_multiindex": NEAR_VECTORS_SQL}
