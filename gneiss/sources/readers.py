@@ -50,6 +50,28 @@ def extracted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return docs.where("pages is not null"), docs.where("pages is null").select("document", F.lit("no list of pages").alias("reason"))
 
 
+POSITIONED = (
+    "document string, pages array<struct<page: int, width: double, height: double, text: string, "
+    "blocks: array<struct<text: string, bbox: array<double>, spans: array<struct<size: double, font: string, flags: int, bold: boolean>>>>, "
+    "tables: array<struct<bbox: array<double>, rows: array<array<string>>>>>>"
+)
+
+
+def positioned(spark: SparkSession, path: str) -> DataFrame:
+    """Pages with blocks and tables as ``layout_chunks`` takes them, from extracted JSON. A span is bold by its own
+    mark, by bit 16 of its flags, or by its font's name. Documents without a list of pages give no rows."""
+    docs = spark.read.schema(POSITIONED).option("multiLine", True).json(path)
+    p = docs.select("document", F.explode("pages").alias("p")).select("document", "p.*")
+
+    def span(s):
+        named = F.lower(F.coalesce(s["font"], F.lit(""))).rlike("bold|black|demi")
+        marked = F.coalesce(s["flags"], F.lit(0)).bitwiseAND(F.lit(16)) != 0
+        return F.struct(s["size"].alias("size"), (F.coalesce(s["bold"], F.lit(False)) | marked | named).alias("bold"))
+
+    blocks = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["bbox"].alias("bbox"), F.transform(b["spans"], span).alias("spans")))
+    return p.withColumn("blocks", blocks)
+
+
 def pages_of(documents: DataFrame) -> DataFrame:
     return documents.select("document", F.explode("pages").alias("p")).select("document", "p.page", "p.text")
 
