@@ -8,9 +8,11 @@ used as often as its lengths are available, so every step uses up a length and t
 rows. Pieces then get a rank within their length (counted in salted groups, so that a length that a
 third of the pieces share is no hot key) and the rank says sequence and offset.
 
-Token ids are those of the byte-level BPE in ``vocab_json`` (a ``tokenizers`` file). They are made
-by tiktoken's core from the ranks in that file, which gives equal ids several times faster; strings
-of special tokens are ordinary text.
+Token ids are those of the byte-level BPE in ``vocab_json``, by the ``tokenizers`` library at its
+defaults, without special tokens around a text: added tokens written in a text get their own id.
+Texts that hold no added token and no white-space run of ``LONG_RUN`` go through tiktoken's core
+with the ranks of the same file, which gives equal ids several times faster; all others go through
+the library itself.
 
 Defined results: null text is empty and gives the single id 0; repeated rows and doc_ids each give
 their own pieces; null doc_ids stay null; an empty table gives no rows; further columns are ignored.
@@ -20,8 +22,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: tiktoken's pattern backtracks over white space and fails near a million in a row.
+LONG_RUN = 50_000
+SPACES = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 
 
 def default_vocab() -> str:
@@ -55,17 +61,34 @@ def _encoding(vocab_json: str):
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def encoder(vocab_json: str) -> Callable[[str], object]:
+    """Ids of a text as the tokenizers library gives them at its defaults, without special tokens around it."""
+    from tokenizers import Tokenizer
+
+    fast, whole = _encoding(vocab_json).encode_to_numpy, Tokenizer.from_file(vocab_json)
+    with open(vocab_json, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+    def encode(text: str):
+        if any(a in text for a in added) or (len(text) >= LONG_RUN and SPACES.search(text)):
+            return whole.encode(text, add_special_tokens=False).ids
+        return fast(text, disallowed_special=())
+
+    return encode
+
+
 def token_pieces(docs: DataFrame, vocab_json: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every text's ids plus ``end_id``; only texts over ``capacity`` are cut, the first piece takes the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode = _encoding(vocab_json).encode_to_numpy
+        encode = encoder(vocab_json)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(text or ""), end_id).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):

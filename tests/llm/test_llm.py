@@ -117,6 +117,24 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_added_tokens_and_long_runs(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocab())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "a" + " " * 1_000_000 + "b", "x\n\t" * 40_000, " " * 49_999 + "\x1c\u3000z"]
+    want = []
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        first = (len(ids) - 1) % 2048 + 1
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want += [(i, k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
+    got = packing.pack_documents(docs_of(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert [r.length for r in got if r.doc_id == 0] == [5]
+
+
 def test_exact_fill():
     counts = {700: 10, 600: 10, 748: 10, 1000: 5, 1048: 5, 2048: 2}
     assert sum(n for n, _ in packing.plan(counts, 2048)) == 17
