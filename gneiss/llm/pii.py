@@ -1,12 +1,15 @@
 """Operator 4: personal data by bootstrapped contextual extraction.
 
-Strict expressions find base entities (email, ip, card, phone) with their offsets. Every run of
-identifier-like tokens (tokens with a digit or ``@``) is an instance; words around it are lexical
-patterns. Runs that hold exactly one base entity are seeds of its kind. Over rounds, patterns are
-scored on the pattern-instance graph by the share of their distinct instances that belong to a kind,
-and instances without a kind take one from patterns of high confidence if their shape allows; those
-instances then count in the next round. Occurrences of such patterns whose run holds no base entity
-become further spans. Base spans always stay. Everything is DataFrame functions; texts are read once.
+Strict expressions find base entities (email, ip, card, phone) with their offsets; each is an instance
+of its kind. What they leave of the text is searched for pieces with a digit or ``@``, and each piece
+is an instance without a kind; digit groups one space or slash apart are one instance as long as the
+groups so far are no whole number (fewer than 10 digits, or groups of a card). Words to the left and to
+the right are lexical patterns, told apart by whether the instance holds ``@``; instances with neither
+letter nor line break between them share their words. Over rounds, patterns are scored on the
+pattern-instance graph by the share of their distinct instances that belong to a kind, and instances
+without a kind take one from patterns of high confidence if their shape allows; those instances then
+count in the next round. Occurrences of such patterns become further spans. Base spans always stay.
+Everything is DataFrame functions; texts are read once.
 
 The expressions give the leftmost, non-overlapping matches of the plain forms in ``PLAIN`` in linear
 time: runs are possessive and matches start only where a run starts (or a match ended).
@@ -37,10 +40,11 @@ LINEAR = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-RUN = rf"(?<![^\x20\x09-\x0D]){TOKEN}(?:\x20{TOKEN})*+"
+#: Stands for each character of a base span; a separator of pieces like white space and some signs.
+MASK = "\ue000"
+SEPARATORS = r"""\x20\x09-\x0D,;|/<>="'\[\]{}""" + MASK
+PIECE = rf"(?<![^{SEPARATORS}:])(?:[A-Fa-f]{{1,4}}:){{0,7}}+[^{SEPARATORS}:0-9@]*+[0-9@][^{SEPARATORS}]*+"
 FOUND = "array<struct<start:bigint,end:bigint,x:string,left:string,right:string>>"
-OCCURRENCE = "start:bigint,end:bigint,x:string,kind:string,patterns:array<string>"
 
 
 def matches(text: Column, pattern: str, context: bool = False) -> Column:
@@ -94,29 +98,109 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[part(i, k) for i, k in enumerate(KINDS)]))
 
 
-def _words(gap: Column, last: bool) -> Column:
+def _left(gap: Column) -> Column:
+    """Patterns of the one and two words that end a gap, and of the last word with the signs after it."""
     words = F.filter(F.split(F.lower(gap), r"[^\p{L}]+"), lambda w: w != "")
-    return F.reverse(F.slice(F.reverse(words), 1, 2)) if last else F.slice(words, 1, 1)
-
-
-def instances(text: Column, base: Column) -> Column:
-    """array<struct<OCCURRENCE>>: runs of identifier-like tokens with their kind, if they hold exactly
-    one base entity, and their patterns; runs with more entities are left out."""
-    runs = F.when(text.rlike("[0-9@]"), matches(text, RUN, context=True))
-
-    def shaped(r: Column) -> Column:
-        inside = F.filter(base, lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
-        lead = F.length(F.regexp_extract(r["x"], r"^[^\p{L}0-9+(]*", 0))
-        tail = F.length(F.regexp_extract(r["x"], r"[^\p{L}0-9)]*+$", 0))
-        left = _words(r["left"], True)
-        near, far = F.element_at(left, -1), F.element_at(left, 1)
-        forms = F.array(F.when(F.size(left) == 2, F.concat(F.lit("2 "), far, F.lit(" "), near)), F.when(F.size(left) >= 1, F.concat(F.lit("1 "), near)), F.when((F.size(left) >= 1), F.concat(F.lit("p "), near, F.lit(" "), F.regexp_extract(r["left"], r"([^\p{L}\s]*)\s*$", 1))))
-        return F.struct(
-            (r["start"] + lead).alias("start"), F.greatest(r["end"] - tail, r["start"] + lead).alias("end"), F.trim(F.regexp_replace(F.regexp_replace(r["x"], r"^[^\p{L}0-9+(]*", ""), r"[^\p{L}0-9)]*+$", "")).alias("x"),
-            F.when(F.size(inside) == 1, F.element_at(inside, 1)["kind"]).when(F.size(inside) > 1, F.lit("many")).alias("kind"), F.filter(forms, lambda f: f.isNotNull()).alias("patterns"),
+    near, far = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
+    forms = F.array(F.concat(F.lit("2 "), far, F.lit(" "), near), F.concat(F.lit("1 "), near), F.concat(F.lit("p "), near, F.lit(" "), F.regexp_extract(gap, r"([^\p{L}\s]*)\s*$", 1)))
+    return F.filter(forms, lambda f: f.isNotNull())
+
+
+def _right(gap: Column) -> Column:
+    """Patterns of the one and two words that begin a gap."""
+    two = F.filter(F.split(F.lower(F.regexp_extract(gap, r"^[^\p{L}]*+\p{L}++(?:[^\p{L}]++\p{L}++)?", 0)), r"[^\p{L}]+"), lambda w: w != "")
+    return F.filter(F.array(F.concat(F.lit("r "), F.try_element_at(two, F.lit(1))), F.concat(F.lit("s "), F.try_element_at(two, F.lit(1)), F.lit(" "), F.try_element_at(two, F.lit(2)))), lambda f: f.isNotNull())
+
+
+def masked(text: Column, base: Column) -> Column:
+    """The text with every character of a base span replaced by ``MASK``."""
+    text = F.replace(text, F.lit(MASK), F.lit("\ue001"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(s["start"], acc["pos"]), F.greatest(s["end"], acc["pos"])
+        parts = F.array(F.substring(text, acc["pos"] + 1, start - acc["pos"]), F.repeat(F.lit(MASK), (end - start).cast("int")))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.when(end > acc["pos"], parts).otherwise(F.expr("cast(array() as array<string>)"))).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))))
+
+
+NO_FORMS = "cast(array() as array<string>)"
+UNIT = "start:bigint,end:bigint,x:string,forms:array<string>,open:boolean"
+
+
+def pieces(hidden: Column) -> Column:
+    """Pieces and masked stretches of a masked text with the patterns of the words around them:
+    array<struct<start, end, x, gap, forms>>."""
+    found = matches(hidden, f"{MASK}++|{PIECE}", context=True)
+    bridge = lambda gap: ~gap.rlike(r"[\p{L}\n]")
+    none = F.expr("cast(array() as array<array<string>>)")
+
+    def onward(acc: Column, m: Column) -> Column:
+        forms = F.when(bridge(m["left"]), acc["forms"]).otherwise(_left(m["left"]))
+        return F.struct(forms.alias("forms"), F.concat(acc["out"], F.array(forms)).alias("out"))
+
+    def backward(acc: Column, m: Column) -> Column:
+        forms = F.when(bridge(acc["gap"]), acc["forms"]).otherwise(_right(acc["gap"]))
+        return F.struct(m["left"].alias("gap"), forms.alias("forms"), F.concat(acc["out"], F.array(forms)).alias("out"))
+
+    def around(ms: Column) -> Column:
+        tail = F.substring(hidden, F.coalesce(F.try_element_at(ms, F.lit(-1))["end"], F.lit(0)) + 1, F.length(hidden))
+        left = F.aggregate(ms, F.struct(F.expr(NO_FORMS).alias("forms"), none.alias("out")), onward, lambda a: a["out"])
+        right = F.aggregate(F.reverse(ms), F.struct(tail.alias("gap"), F.expr(NO_FORMS).alias("forms"), none.alias("out")), backward, lambda a: F.reverse(a["out"]))
+        both = F.zip_with(left, right, lambda a, b: F.concat(a, b))
+        return F.zip_with(ms, both, lambda m, f: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["x"].alias("x"), m["left"].alias("gap"), f.alias("forms")))
+
+    # one element, so that the matches are made once and not in each use
+    return F.element_at(F.transform(F.array(found), around), 1)
+
+
+def units(found: Column) -> Column:
+    """Pieces with digit groups of one number joined: array<struct<start, end, x, forms, open>>."""
+    digits = lambda x: F.length(_digits(x))
+    none = F.expr(f"cast(array() as array<struct<{UNIT}>>)")
+
+    def step(acc: Column, m: Column) -> Column:
+        cur = acc["cur"]
+        a, b = digits(cur["x"]), digits(m["x"])
+        card = (cur["x"].rlike("^[0-9]{4}(?: [0-9]{4})+$") & m["x"].rlike(r"^[0-9]{1,4}[.!?:*)]*$")) | (cur["x"].rlike("^[0-9]{4} [0-9]{6}$") & m["x"].rlike(r"^[0-9]{5}[.!?:*)]*$"))
+        fits = (a + b <= 19) & (b < 9) & ((a < 7) | (b < 7)) & ((a < 10) | card)
+        joins = F.coalesce(cur["open"] & m["gap"].isin(" ", "/") & m["x"].rlike(r"^\(?[0-9][0-9().-]*[.!?:*)]*$") & fits, F.lit(False))
+        opens = m["x"].rlike(r"^[+(]{0,2}[0-9](?:[0-9().-]*[0-9)])?$")
+        one = F.struct(
+            F.when(joins, cur["start"]).otherwise(m["start"]).alias("start"), m["end"].alias("end"), F.when(joins, F.concat(cur["x"], m["gap"], m["x"])).otherwise(m["x"]).alias("x"),
+            F.when(joins, cur["forms"]).otherwise(m["forms"]).alias("forms"), opens.alias("open"),
         )
+        return F.struct(F.when(joins | cur["x"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(cur))).alias("out"), one.alias("cur"))
+
+    zero = F.struct(none.alias("out"), F.expr(f"cast(null as struct<{UNIT}>)").alias("cur"))
+    return F.aggregate(found, zero, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
+
+
+def instances(text: Column, base: Column, found: Column) -> Column:
+    """array<struct<start, end, x, kind, patterns>>: base entities with their kind and other identifier-like units with
+    none, both with their patterns. ``found`` holds ``pieces`` of the masked text."""
+    typed = lambda x, forms: F.transform(forms, lambda f: F.concat(F.when(x.contains("@"), F.lit("@")).otherwise(F.lit("#")), f))
+
+    def seeds(m: Column) -> Column:
+        inside = F.filter(base, lambda b: (b["start"] >= m["start"]) & (b["end"] <= m["end"]))
+
+        def seed(b: Column) -> Column:
+            x = F.substring(text, b["start"] + 1, b["end"] - b["start"])
+            return F.struct(b["start"].alias("start"), b["end"].alias("end"), x.alias("x"), b["kind"].alias("kind"), typed(x, m["forms"]).alias("patterns"))
+
+        return F.transform(inside, seed)
+
+    def shaped(u: Column) -> Column:
+        lead = F.length(F.regexp_extract(u["x"], r"^[^\p{L}0-9+(]*", 0))
+        tail = F.length(F.regexp_extract(u["x"], r"[^\p{L}0-9)]*+$", 0))
+        x = F.trim(F.regexp_replace(F.regexp_replace(u["x"], r"^[^\p{L}0-9+(]*", ""), r"[^\p{L}0-9)]*+$", ""))
+        return F.struct((u["start"] + lead).alias("start"), F.greatest(u["end"] - tail, u["start"] + lead).alias("end"), x.alias("x"), F.lit(None).cast("string").alias("kind"), typed(x, u["forms"]).alias("patterns"))
 
-    return F.filter(F.transform(runs, shaped), lambda o: (o["end"] > o["start"]) & ~o["kind"].eqNullSafe("many"))
+    is_mask = lambda m: m["x"].startswith(MASK)
+    known = F.flatten(F.transform(F.filter(found, is_mask), seeds))
+    rest = F.filter(F.transform(F.filter(units(found), lambda u: ~is_mask(u)), shaped), lambda o: o["end"] > o["start"])
+    return F.concat(known, rest)
 
 
 def may_be(kind: Column, x: Column) -> Column:
@@ -147,7 +231,8 @@ def extract(docs: DataFrame, rounds: int = 2, confidence: float = 0.8, support:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     first = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *kept).withColumn("base", base_spans(F.col("text")))
-    first = first.withColumn("seen", instances(F.col("text"), F.col("base"))).drop("text").withColumn("uid", F.monotonically_increasing_id())
+    first = first.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), pieces(masked(F.col("text"), F.col("base")))))
+    first = first.withColumn("seen", instances(F.col("text"), F.col("base"), F.col("found"))).drop("text", "found").withColumn("uid", F.monotonically_increasing_id())
     table = cut(first, "pii-rows")
     seen = table.where(F.size("seen") > 0).select("uid", F.explode("seen").alias("o")).select("uid", "o.*")
     good = learn(seen, rounds, confidence, support)

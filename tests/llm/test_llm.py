@@ -205,6 +205,21 @@ def test_pii_discovers(spark):
     assert clean[100] == "so call me at <phone> today please" and clean[101] == more[1][1]
 
 
+def test_pii_discovers_next_to_others(spark):
+    rows = [(i, f"filler words here call me at +1 (705) 555-{1000 + i} today please", "en", "s") for i in range(40)]
+    rows += [(50 + i, f"+1 (705) 556-{1000 + i} reaches the desk", "en", "s") for i in range(40)]
+    phone = r"705-555-7777|705-555-8888|\(705\) 555-9999|705 555 6666"
+    texts = [
+        "so call me at 705-555-7777, 705-555-8888 today please", "so call me at a@b.com 705-555-7777 now", "so call me at 705-555-7777 24/7", "so call me at +1 (705) 555-1001, 705-555-8888 or so",
+        "call me at 705-555-7777/705-555-8888", "call me at tel:705-555-7777 today please", "705-555-8888 reaches the desk", "call me at (705) 555-9999 or not", "call me at 705 555 6666; 24 times", "each 705-555-7777 of them",
+    ]
+    df = docs_of(spark, rows + [(200 + i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: set(filter(None, r.s.split(","))) for r in pii.extract(df).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        want = {f"phone:{m.start()}:{m.end()}" for m in re.finditer(phone, t)} if not t.startswith("each") else set()
+        assert got[200 + i] == want | set(filter(None, brute_base(t).split(","))), t
+
+
 def test_language(spark, odd, empty):
     train = docs_of(spark, [(i, EN if i % 2 else DE, "en" if i % 2 else "de", "s") for i in range(60)])
     model = langid.fit(train)
