@@ -2,9 +2,12 @@
 
 Case, copyright lines, punctuation, white space and equivalent spellings are normalised away; the
 SHA-256 of what is left is joined to the digests of known licence texts. Whole texts only, all in
-DataFrame functions. Known licences are a parameter (license_id, text); ``KNOWN`` has a few short
-ones. The join carries 64 characters a row and known licences are few; Spark broadcasts them only
-while they are under its size threshold, and a digest that many documents share meets one row.
+DataFrame functions. Known licences are a parameter (license_id, text); ``known_licenses`` holds the
+short ones of ``KNOWN`` with and without their titles and the texts in ``license_texts``, with and
+without what follows their terms. A text whose digest is unknown is looked up once more without any
+line that starts with a copyright word or sign (``NOTICE_LINE``); ``digest`` itself keeps such lines.
+The joins carry 64 characters a row and known licences are few; Spark broadcasts them only while they
+are under its size threshold, and a digest that many documents share meets one row.
 
 Defined results: null text has a null digest and no licence; empty text has the digest of the empty
 string; if two known texts share a digest the smaller license_id names both; repeated rows each
@@ -13,12 +16,20 @@ give a row; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only claims copyright: the word or sign, then a sign, year or placeholder.
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9(©]*(copyright[ \t]*(\(c\)|©)?[ \t]*[0-9<\[{]|(\(c\)|©)[ \t]*(copyright)?[ \t]*[0-9<\[{]|all rights reserved)[^\n]*"
+#: A line that starts with a copyright word or sign, whatever follows, unless it goes on like a sentence of a licence;
+#: a bare "(c)", which may number a clause, has to be a paragraph of one line.
+NOTICE_LINE = (
+    r"(^|\n)[^\na-z0-9(©]*(copyright\b(?![ \t]+(?:and|or|holders?|owners?|notices?|laws?|licen[sc]es?|statements?|interests?|rights?|works?|permission|protection|disclaimers?|treaty|material|in|is|to|on|for)\b)"
+    r"|©|\(c\)[ \t]*(?:copyright|[0-9<\[{])|all rights reserved)[^\n]*|(?:^\s*|\n[ \t\r]*\n[ \t]*)\(c\)[^\n]*(?=\n[ \t\r]*\n|\s*$)"
+)
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—…©«»·•]+"
 #: Spellings that count as equal (left becomes right).
 EQUIVALENT = (
@@ -48,28 +59,57 @@ KNOWN = {
 }
 
 
-def canonical(text: Column) -> Column:
-    t = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "\n")
+#: Titles over the texts of ``KNOWN``.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "License: MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD License (0BSD)", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"),
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def canonical(text: Column, notices: str = COPYRIGHT_LINE) -> Column:
+    t = F.regexp_replace(F.translate(text, UPPER, LOWER), notices, "\n")
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, "  "), F.lit(" "))
     for spelling, usual in EQUIVALENT:
         t = F.replace(t, F.lit(f" {spelling} "), F.lit(f" {usual} "))
     return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): every form of a licence that counts as the whole of it."""
+    out = [(k, f"{title}\n\n{text}") for k, text in KNOWN.items() for title in ("", *TITLES[k])]
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(TERMS_END)
+        out += [(file.stem, t) for t in ((text, terms, terms + end) if end else (text,))]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    return spark.createDataFrame(known_texts(), "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license_id (null where the text is no known licence)."""
     known = known_licenses(docs.sparkSession) if known is None else known
-    digests = known.where("text is not null").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(canonical(F.col(text_col).cast("string")), 256).alias("digest"))
-    return own.join(digests, "digest", "left").select("doc_id", "digest", "license_id")
+
+    def digests(key: str, name: str, **options) -> DataFrame:
+        return known.where("text is not null").select("license_id", F.sha2(canonical(F.col("text"), **options), 256).alias(key)).groupBy(key).agg(F.min("license_id").alias(name))
+
+    text = F.col(text_col).cast("string")
+    lower = F.translate(text, UPPER, LOWER)
+    bare = F.when(lower.contains("copyright") | lower.contains("©") | lower.contains("(c)"), F.when(lower.rlike(NOTICE_LINE), F.sha2(canonical(text, NOTICE_LINE), 256)))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), bare.alias("bare"))
+    found = own.join(digests("digest", "exact"), "digest", "left").join(digests("bare", "less", notices=NOTICE_LINE), "bare", "left")
+    return found.select("doc_id", "digest", F.coalesce("exact", "less").alias("license_id"))
 
 
 def scan_sql() -> str:
-    """The same over DuckDB's view ``documents``."""
+    """The same over DuckDB's view ``documents``, with the texts of ``KNOWN`` and ``digest`` alone."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def sql(text: str) -> str:

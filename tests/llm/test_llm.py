@@ -343,6 +343,20 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_licenses_known_texts_titles_and_notices(spark):
+    from pathlib import Path
+
+    mit, bsd = licenses.KNOWN["MIT"], licenses.KNOWN["BSD-3-Clause"]
+    files = {f.stem: f.read_text() for f in sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(files)
+    cases = [*files.items(), ("Apache-2.0", "\n".join(x.strip() for x in files["Apache-2.0"].split("APPENDIX")[0].splitlines()))]
+    cases += [("MIT", f"{head}\n\n{mit}") for head in ("MIT License\n\nCopyright (c) 2020 X", "The MIT License (MIT)\n\nCopyright (c) Microsoft Corporation.", "Copyright (c) Meta Platforms, Inc. and affiliates.", "Copyright: 2020 X", "© The Authors", "(c) Some Company", "MIT License\n\n  (c) Some Company", "# Copyright by the Team\n# All rights reserved.")]
+    wrapped = bsd.replace("COPYRIGHT HOLDER", "\nCOPYRIGHT HOLDER").replace("copyright notice", "\ncopyright notice")
+    cases += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) Facebook, Inc.\n\n{wrapped}"), (None, "Copyright (c) X\n" + mit + " but not"), (None, "Copyright (c) Microsoft Corporation.")]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i].license_id for i in range(len(cases))] == [k for k, _ in cases]
+
+
 def test_cotraining(spark, odd, empty):
     rng = np.random.default_rng(2)
     good = lambda: " ".join(rng.choice(["plain", "prose", "about", "things", "that", "matter"], 40))
