@@ -9,9 +9,10 @@ footrule that ``recall`` of the true neighbours there stay under, and neighbours
 the table grows; the ``k`` best by footrule of a shard are reranked in any case.
 
 Queries are dealt into blocks and meet every shard, so a task holds one shard and streams queries.
+Vectors of each length are a class of their own, with pivots, radius, shards and blocks of their own.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, or have a null
-vec_id, or another length than the longest, take no part; equal scores go to the smaller vec_id;
+vec_id, take no part; vectors meet those of their own length only; equal scores go to the smaller vec_id;
 rows with the query's own vec_id are its own and no candidates; fewer candidates than ``k`` are all
 returned; an empty table gives no rows; further columns are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import matrix, sample, unit, usable
+from .vectors import matrix, unit, usable
 
 
 def orders(x, pivots, prefix: int):
@@ -76,8 +77,30 @@ def calibrate(x, pivots, prefix: int, k: int, recall: float, queries: int = 400)
     return int(np.quantile(found, recall))
 
 
-def _search(pivots, prefix: int, radius: int, k: int, width: int):
-    """mapInArrow function over rows sorted by (shard, block, kind): the shard's vectors, then queries."""
+def samples(rows: DataFrame, sizes: dict[int, int], most: int) -> Iterator[tuple[int, object]]:
+    """(width, unit rows) of each length, at most about ``most`` by a hash of the vector; lengths with few rows share a job."""
+    import numpy as np
+
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(8), "vec"), 11) / F.lit(float(1 << 53))
+    groups: list[list[int]] = []
+    load = most
+    for width, n in sorted(sizes.items()):
+        if load + min(n, most) > most:
+            groups.append([])
+            load = 0
+        groups[-1].append(width)
+        load += min(n, most)
+    for group in groups:
+        part = rows.sparkSession.createDataFrame([(w, min(1.0, most / sizes[w])) for w in group], "width int, part double")
+        table = rows.join(F.broadcast(part), "width").where(draw < F.col("part")).select("width", "vec", F.xxhash64(F.lit(8), "vec").alias("h")).toArrow().sort_by("h")
+        widths, vecs = table.column(0).to_numpy(), table.column(1).combine_chunks()
+        for width in group:
+            yield width, unit(matrix(vecs.take(pa.array(np.flatnonzero(widths == width))), width))
+
+
+def _search(models: dict[int, tuple], k: int):
+    """mapInArrow function over rows sorted by (width, shard, block, kind): the shard's vectors, then queries.
+    ``models`` holds (pivots, prefix, radius) by width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -85,15 +108,17 @@ def _search(pivots, prefix: int, radius: int, k: int, width: int):
         key, held, index = None, [], None
         ids = x = norms = None
         for batch in batches:
-            shard, block, kind, vec = (batch.column(i).to_numpy() for i in range(4))
-            rows = matrix(batch.column(4), width)
+            width, shard, block, kind, vec = (batch.column(i).to_numpy() for i in range(5))
             out: list[list] = [[], [], []]
-            change = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1)] if len(vec) else []
+            changes = (np.diff(width) != 0) | (np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)
+            change = [0, *(np.flatnonzero(changes) + 1)] if len(vec) else []
             for s, e in zip(change, [*change[1:], len(vec)], strict=True):
-                if (shard[s], block[s]) != key:
-                    key, held, index = (shard[s], block[s]), [], None
+                if (width[s], shard[s], block[s]) != key:
+                    key, held, index = (width[s], shard[s], block[s]), [], None
+                pivots, prefix, radius = models[int(width[s])]
+                rows = matrix(batch.column(5).slice(s, e - s), int(width[s]))
                 if kind[s] == 0:
-                    held.append((vec[s:e], rows[s:e]))
+                    held.append((vec[s:e], rows))
                     continue
                 if not held:
                     continue
@@ -101,7 +126,7 @@ def _search(pivots, prefix: int, radius: int, k: int, width: int):
                     ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                     norms = np.sqrt((x * x).sum(axis=1))
                     index = InvertedFiles(orders(x, pivots, prefix), len(pivots))
-                perms = orders(rows[s:e], pivots, prefix)
+                perms = orders(rows, pivots, prefix)
                 for i in range(s, e):
                     far = index.footrule(perms[i - s])
                     far[ids == vec[i]] = 1 << 30
@@ -109,7 +134,7 @@ def _search(pivots, prefix: int, radius: int, k: int, width: int):
                     if len(near) < k:
                         near = np.argsort(far, kind="stable")[:k]
                         near = near[far[near] < 1 << 30]
-                    q = rows[i]
+                    q = rows[i - s]
                     score = (x[near] * q).sum(axis=1) / (norms[near] * np.sqrt((q * q).sum()))
                     best = np.lexsort((ids[near], -score))[:k]
                     out[0] += [vec[i]] * len(best)
@@ -124,24 +149,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 256
     """query_id, rank, vec_id, score. ``is_query`` is a condition on ``vec_id``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    n, width = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("vec") == width)
-    x = sample(rows, "vec", n, fit_sample, 8)
-    pivots = x[:: max(1, len(x) // n_pivots)][:n_pivots]
-    prefix = min(prefix, len(pivots))
-    radius = calibrate(x, pivots, prefix, k, recall)
-    queries = rows.where(is_query)
-    shards, blocks = -(-n // shard_rows), -(-max(1, queries.count()) // block_rows)
-    copies = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    own = lambda many: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(many)).cast("int")
-    held = rows.select(own(shards).alias("shard"), copies(blocks).alias("block"), F.lit(0).alias("kind"), "vec_id", "vec")
-    asked = queries.select(copies(shards).alias("shard"), own(blocks).alias("block"), F.lit(1).alias("kind"), "vec_id", "vec")
-    where = ["shard", "block"]
-    parts = min(shards * blocks, 20_000)
+    rows = rows.withColumn("width", F.size("vec"))
+    counts = rows.groupBy("width").agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked")).collect()
+    if not counts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    models = {}
+    for width, x in samples(rows, {r["width"]: r["n"] for r in counts}, fit_sample):
+        pivots = x[:: max(1, len(x) // n_pivots)][:n_pivots]
+        depth = min(prefix, len(pivots))
+        models[width] = (pivots, depth, calibrate(x, pivots, depth, k, recall))
+    dealing = [(r["width"], -(-r["n"] // shard_rows), -(-max(1, r["asked"]) // block_rows)) for r in counts]
+    rows = rows.join(F.broadcast(vectors.sparkSession.createDataFrame(dealing, "width int, shards int, blocks int")), "width")
+    copies = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    own = lambda many: F.pmod(F.xxhash64("vec_id", "vec"), F.col(many)).cast("int")
+    held = rows.select("width", own("shards").alias("shard"), copies("blocks").alias("block"), F.lit(0).alias("kind"), "vec_id", "vec")
+    asked = rows.where(is_query).select("width", copies("shards").alias("shard"), own("blocks").alias("block"), F.lit(1).alias("kind"), "vec_id", "vec")
+    where = ["width", "shard", "block"]
+    parts = min(sum(s * b for _, s, b in dealing), 20_000)
     dealt = held.unionByName(asked).repartition(parts, *where).sortWithinPartitions(*where, "kind")
-    found = cut(dealt.mapInArrow(_search(pivots, prefix, radius, k, width), "query_id long, vec_id long, score double"), "ann-found")
+    found = cut(dealt.mapInArrow(_search(models, k), "query_id long, vec_id long, score double"), "ann-found")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

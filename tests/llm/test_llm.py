@@ -333,6 +333,16 @@ def test_permutation_index(spark, points):
     assert permindex.search(vectors_of(spark, []), F.col("vec_id") == 0).count() == 0
 
 
+def test_permutation_index_by_length(spark, points):
+    find = lambda rows: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in permindex.search(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, shard_rows=100, block_rows=7).collect())
+    odd = [(1000, 0, [*points[0][2], 1.0], "", "")]
+    short = [(2000 + i, 0, points[i][2][:8], "", "") for i in range(3)]
+    assert find(points + odd) == find(points) and len(find(points)) == 100
+    got = find(points + odd + short)
+    assert [r for r in got if r[0] < 1000] == find(points) and not [r for r in got if r[0] == 1000]
+    assert sorted(r[2] for r in got if r[0] == 2000) == [2001, 2002]
+
+
 def test_licenses(spark, odd, empty):
     mit = licenses.KNOWN["MIT"]
     shouted = "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace('"', "``").replace(". ", ".\n\n")
