@@ -382,6 +382,29 @@ def test_cotraining(spark, odd, empty):
     assert {r.score for r in cotrain.score(odd, none).collect()} == {0.5}
 
 
+def test_cotraining_hands_over_all_sure_documents(spark, monkeypatch):
+    words = ["plain", "prose", "about", "things", "that", "matter"]
+    rows = [(i, " ".join(words[(i * 7 + k) % 6] for k in range(40)) if i % 2 else "SPAM!!! " * (10 + i % 30), "en", "a" if i % 2 else "b") for i in range(1400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    real = cotrain.cotrain
+
+    def watched(text, meta, y, n_pool=0, sums=None, **options):
+        def kept(past, weights, w):
+            out = sums(past, weights, w)
+            if w is None:
+                seen.append(out)
+            return out
+
+        return real(text, meta, y, n_pool, kept, **options)
+
+    monkeypatch.setattr(cotrain, "cotrain", watched)
+    model = cotrain.fit(docs_of(spark, rows), labels, pool=100)
+    assert seen[0][0].tolist() == [600, 600] and seen[0][1].min() > 100
+    got = cotrain.score(docs_of(spark, rows), model).collect()
+    assert all(r.keep == bool(r.doc_id % 2) for r in got)
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as p
 
