@@ -1,7 +1,10 @@
 """Operator 3: embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are halved; each half has a codebook of its own (k-means on a bounded sample), and the
-product of both codebooks is a grid of cells. Every distinct vector is posted in its home cell and
+product of both codebooks is a grid of cells. Grids come by vector length and by level, with 2 ** level
+codes a half; a label takes the level that leaves about ``per_cell`` of its own vectors a cell, so small
+labels share coarse grids and the largest label gets a fine one. Codes are bounded by a quarter of the
+sample only (``fit_sample``); past that cells grow. Every distinct vector is posted in its home cell and
 visits further cells by multi-sequence traversal, in order of the distance to the borders it would
 have to cross, until the target recall: the border distance is calibrated on pairs made at exactly
 the threshold from the sample. A pair is met if either vector visits the other's home; it is then
@@ -39,17 +42,24 @@ class Grid:
     reach: float
     width: int
 
+    def __post_init__(self):
+        import numpy as np
+
+        squares = [(book * book).sum(1) for book in self.books]
+        self.apart = [np.sqrt(np.maximum(s[:, None] + s[None] - 2 * book @ book.T, 0)) for s, book in zip(squares, self.books, strict=True)]
+
     def borders(self, x):
         """For each half: [rows, codes] distances to the bisector between the nearest code and each code."""
         import numpy as np
 
         out = []
-        for half, book in zip((x[:, : self.width // 2], x[:, self.width // 2 :]), self.books, strict=True):
+        for half, book, apart in zip((x[:, : self.width // 2], x[:, self.width // 2 :]), self.books, self.apart, strict=True):
             d = (half * half).sum(1)[:, None] - 2 * half @ book.T + (book * book).sum(1)
             home = d.argmin(axis=1)
-            apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(-1))[home]
-            out.append((home, (d - d[np.arange(len(d)), home][:, None]) / np.maximum(2 * apart, 1e-12)))
-            out[-1][1][np.arange(len(d)), home] = 0
+            row = np.arange(len(d))
+            d = (d - d[row, home][:, None]) / np.maximum(2 * apart[home], 1e-12)
+            d[row, home] = 0
+            out.append((home, d))
         return out
 
     def homes(self, x):
@@ -103,7 +113,7 @@ def fit_grid(x, codes: int, threshold: float, recall: float, seed: int = 3) -> G
 
     rng = np.random.default_rng(seed)
     width = x.shape[1]
-    k = max(1, min(codes, len(x)))
+    k = max(1, min(codes, len(x) // 4))
     grid = Grid((_kmeans(x[:, : width // 2], k, rng), _kmeans(x[:, width // 2 :], k, rng)), np.inf, width)
     u = x[rng.integers(0, len(x), 20_000)]
     noise = rng.normal(size=u.shape)
@@ -114,24 +124,36 @@ def fit_grid(x, codes: int, threshold: float, recall: float, seed: int = 3) -> G
     return grid
 
 
-def _post(classes: DataFrame, grid: Grid, visit: bool) -> DataFrame:
+def _post(classes: DataFrame, grids: dict[tuple[int, int], Grid], visit: bool) -> DataFrame:
+    """Classes in their home cell, or in all cells they visit. Level 0 has one cell, and nothing to visit from it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                x = unit(matrix(part.column(4), grid.width))
-                rows, cells = grid.traverse(x) if visit else (np.arange(len(x)), grid.homes(x))
-                home = grid.homes(x)
-                out = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(home[rows], pa.int64()), pa.array(cells, pa.int64())], [*batch.schema.names, "home", "cell"])
-
-    names = ["cid", "n", "label", "dim", "vec"]
-    return classes.select(*names).mapInArrow(run, "cid long, n long, label string, dim int, vec array<double>, home long, cell long")
-
-
-def _meet(grid: Grid, threshold: float):
-    """mapInArrow function over rows sorted by (label, dim, cell, part, kind): posted rows (kind 0) of a
+            dim, level = (batch.column(i).to_numpy() for i in (3, 4))
+            for d, v in {(int(d), int(v)) for d, v in zip(dim, level, strict=True)}:
+                grid = grids.get((d, v))
+                at = np.flatnonzero((dim == d) & (level == v))
+                step = 2000 if grid is None else max(50, 1_000_000 // len(grid.books[0]))
+                for s in range(0, len(at), step):
+                    part = batch.take(pa.array(at[s : s + step]))
+                    if grid is None:
+                        rows, home = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
+                        cells = home
+                    else:
+                        x = unit(matrix(part.column(5), d))
+                        home = grid.homes(x)
+                        rows, cells = grid.traverse(x) if visit else (np.arange(len(x)), home)
+                    out = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(home[rows], pa.int64()), pa.array(cells, pa.int64())], [*batch.schema.names, "home", "cell"])
+
+    names = ["cid", "n", "label", "dim", "level", "vec"]
+    return classes.select(*names).mapInArrow(run, "cid long, n long, label string, dim int, level int, vec array<double>, home long, cell long")
+
+
+def _meet(grids: dict[tuple[int, int], Grid], threshold: float):
+    """mapInArrow function over rows sorted by (label, dim, level, cell, part, kind): posted rows (kind 0) of a
     block first, then those that pass by. Gives edges (a, b, null) and counts (a, null, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +178,7 @@ def _meet(grid: Grid, threshold: float):
                 out_b.extend([None] * len(at))
                 out_n.extend(counts[at].tolist())
 
-        def pass_by(cell: int, cid, n, home, x) -> None:
+        def pass_by(grid: Grid | None, cell: int, cid, n, home, x) -> None:
             for at in range(0, len(cid), 1024):
                 s = slice(at, at + 1024)
                 a, b = np.nonzero(x[s] @ rows.T >= threshold)
@@ -189,20 +211,20 @@ def _meet(grid: Grid, threshold: float):
                         comp[np.isin(comp, trees)] = trees[0]
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            kind, cid, n, home = (batch.column(i).to_numpy() for i in (4, 5, 6, 8))
-            x = unit(matrix(batch.column(7), grid.width))
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            kind, cid, n, home = (batch.column(i).to_numpy() for i in (5, 6, 7, 9))
             keys = list(zip(*columns, strict=True))
             change = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or kind[i] != kind[i - 1]]
             for s, e in zip(change, [*change[1:], len(keys)], strict=True):
                 if keys[s] != key:
                     leave()
                     key, held, ids = keys[s], [], None
+                x = unit(matrix(batch.column(8).slice(s, e - s), key[1]))
                 if kind[s] == 0:
-                    held.append((cid[s:e], n[s:e], x[s:e]))
+                    held.append((cid[s:e], n[s:e], x))
                 elif held:
                     settle()
-                    pass_by(key[2], cid[s:e], n[s:e], home[s:e], x[s:e])
+                    pass_by(grids.get(key[1:3]), key[3], cid[s:e], n[s:e], home[s:e], x)
             if len(out_a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (out_a, out_b, out_n)], ["a", "b", "n"])
                 out_a, out_b, out_n = [], [], []
@@ -219,24 +241,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     rows = rows.withColumn("ok", usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "least", "n", "label", F.size("vec").alias("dim"), "vec"), "vec-classes")
-    head = classes.agg(F.count("*"), F.approx_count_distinct("label"), F.max("dim")).first()
-    if head[0]:
-        codes = round((head[0] / max(1, head[1]) / per_cell) ** 0.5)
-        grid = fit_grid(sample(classes.where(F.col("dim") == head[2]), "vec", head[0], fit_sample, 3), min(256, max(1, codes)), threshold, recall)
-        place = ["label", "dim", "cell"]
-        posted = cut(_post(classes, grid, False).drop("home"), "vec-posted")
-        parts = posted.groupBy(*place).agg(F.count("*").alias("held"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-        home = posted.join(parts, place).select(*place, F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "cid", "n", "vec", F.col("cell").alias("home"))
-        guests = _post(classes, grid, True).join(parts, place).where((F.col("home") != F.col("cell")) | (F.col("held") > 1))
-        guests = guests.select(*place, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "cid", "n", "vec", "home")
-        where = [*place, "part"]
-        met = home.unionByName(guests).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *where).sortWithinPartitions(*where, "kind")
-        met = cut(met.select(*where, "kind", "cid", "n", "vec", "home").mapInArrow(_meet(grid, threshold), "a long, b long, n long"), "vec-met")
-        counts = met.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
-        roots = components(met.where("n is null").select("a", "b")).select(F.col("id").alias("cid"), F.col("component").alias("root"))
-        classes = classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    else:
-        classes = classes.withColumns({"links": F.lit(0).cast("long"), "root": F.col("cid")})
+    top = max(0, (fit_sample // 4).bit_length() - 1)
+    level = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.col("held") / per_cell) / 2).cast("int")))
+    levels = classes.groupBy("label", "dim").agg(F.count("*").alias("held")).select("label", "dim", level.alias("level"))
+    known = levels.where("level > 0").select("dim", "level").distinct().collect()
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("dim").isin(sorted({r["dim"] for r in known}))).collect()} if known else {}
+    grids = {}
+    for dim, n in sorted(sizes.items()):
+        x = sample(classes.where(F.col("dim") == dim), "vec", n, fit_sample, 3)
+        grids |= {(dim, r["level"]): fit_grid(x, 1 << r["level"], threshold, recall) for r in known if r["dim"] == dim}
+    leveled = classes.join(levels, ["label", "dim"])
+    place = ["label", "dim", "level", "cell"]
+    posted = cut(_post(leveled, grids, False).drop("home"), "vec-posted")
+    parts = posted.groupBy(*place).agg(F.count("*").alias("held"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    home = posted.join(parts, place).where("held > 1 or level > 0").select(*place, F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "cid", "n", "vec", F.col("cell").alias("home"))
+    guests = _post(leveled, grids, True).join(parts, place).where((F.col("home") != F.col("cell")) | (F.col("held") > 1))
+    guests = guests.select(*place, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "cid", "n", "vec", "home")
+    where = [*place, "part"]
+    met = home.unionByName(guests).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *where).sortWithinPartitions(*where, "kind")
+    met = cut(met.select(*where, "kind", "cid", "n", "vec", "home").mapInArrow(_meet(grids, threshold), "a long, b long, n long"), "vec-met")
+    counts = met.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
+    roots = components(met.where("n is null").select("a", "b")).select(F.col("id").alias("cid"), F.col("component").alias("root"))
+    classes = classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(least, "root").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), "component")
     good = rows.where("ok").join(named, ["label", "vec"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
