@@ -1,7 +1,8 @@
 """Shared plumbing: scratch tables in the cluster's shared folder, and word handling.
 
-``scratch_dir`` reads ``spark.checkpoint.dir`` from the session; only where it is unset (tests,
-local mode) does it make a folder of its own. ``cut`` writes a DataFrame there as Parquet and reads
+``scratch_dir`` reads ``spark.checkpoint.dir`` from the session; only where it is unset and the master
+is local (tests) does it make a folder of its own; on a cluster an unset folder is an error, since
+executors would write to their own disks. Operators run jobs when they are called: each ``cut`` is one. ``cut`` writes a DataFrame there as Parquet and reads
 it back, so lineage ends in files that survive the loss of executors.
 """
 
@@ -21,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
         place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")

@@ -1,12 +1,14 @@
 """Operator 9: best-fit packing by exact-complement hashing.
 
 Only the histogram of piece lengths (at most ``capacity`` entries, whatever the corpus) is planned
-on the driver. ``plan`` fills sequences longest piece first: from the current gap it looks up single
-lengths, then pair sums, then triple sums that fill the gap exactly, under the counts still
-available, and where there is none takes the longest piece that fits and tries again. A pattern is
-used as often as its lengths are available, so every step uses up a length and the plan has few
-rows. Pieces then get a rank within their length (counted in salted groups, so that a length that a
-third of the pieces share is no hot key) and the rank says sequence and offset.
+on the driver. ``SumIndex`` holds, by sum, the single lengths, pairs and triples that add up to it;
+entries that have run out are passed over once and for all, since counts only fall. ``plan`` fills
+sequences longest piece first: it looks the current gap up as a single, a pair and a triple sum that
+fills it exactly under the counts still available, and where there is none takes the longest piece
+that fits and tries again. A pattern is used as often as its lengths are available, so every step
+uses up a length and the plan has few rows. Pieces then get a rank within their length (counted in
+groups salted by a row number, so that neither a length that a third of the pieces share nor a row
+that is repeated often is a hot key) and the rank says sequence and offset.
 
 Token ids are those of the byte-level BPE in ``vocab_json``, by the ``tokenizers`` library at its
 defaults, without special tokens around a text: added tokens written in a text get their own id.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import keyed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: tiktoken's pattern backtracks over white space and fails near a million in a row.
@@ -100,6 +102,64 @@ def token_pieces(docs: DataFrame, vocab_json: str, capacity: int = 2048, end_id:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
+class SumIndex:
+    """Combinations of one, two and three lengths by their sum, under the counts ``free``.
+
+    The entries of a sum are listed when the sum is first asked for, largest member first, and held by a
+    cursor. Counts only fall, so an entry that has run out stays out and its cursor never goes back."""
+
+    def __init__(self, free) -> None:
+        self.free = free
+        self.pairs: dict[int, list] = {}  # sum -> [cursor, first members]
+        self.triples: dict[int, list] = {}  # sum -> [cursor, largest members]
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.free[total] else None
+
+    def _lengths(self, low: int, high: int) -> list[int]:
+        import numpy as np
+
+        return (np.flatnonzero(self.free[low : high + 1])[::-1] + low).tolist()
+
+    def pair(self, total: int, besides: int = 0) -> tuple[int, ...] | None:
+        """A pair that adds up to ``total`` while one piece of length ``besides`` is spoken for."""
+        if total < 2:
+            return None
+        free = self.free
+        if total not in self.pairs:
+            self.pairs[total] = [0, [a for a in self._lengths(-(-total // 2), total - 1) if free[total - a]]]
+        entry = self.pairs[total]
+        at, first = entry
+        while at < len(first):
+            a, b = first[at], total - first[at]
+            if free[a] and free[b] and (a != b or free[a] > 1):
+                if free[a] - (a == besides) >= 1 + (a == b) and free[b] - (b == besides) >= 1 + (a == b):
+                    return a, b
+                at += 1  # only held up by the piece spoken for: it stays in the index
+                continue
+            if at == entry[0]:
+                entry[0] += 1
+            at += 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        if total < 3:
+            return None
+        if total not in self.triples:
+            self.triples[total] = [0, self._lengths(-(-total // 3), total - 2)]
+        entry = self.triples[total]
+        while entry[0] < len(entry[1]):
+            c = entry[1][entry[0]]
+            rest = self.pair(total - c, c) if self.free[c] else None
+            if rest:
+                return (c, *rest)
+            entry[0] += 1
+        return None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Patterns ``(times, {length: copies})`` that use every piece of the histogram exactly once."""
     import numpy as np
@@ -109,26 +169,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} does not fit {capacity}")
         free[length] += n
-
-    def single(gap: int) -> tuple[int, ...] | None:
-        return (gap,) if free[gap] else None
-
-    def pair(gap: int, low: int = 1) -> tuple[int, ...] | None:
-        a = np.arange(max(low, 1), gap // 2 + 1)
-        ok = np.flatnonzero((free[a] > 0) & (free[gap - a] > 0) & ((2 * a != gap) | (free[a] > 1)))
-        return (int(gap - a[ok[-1]]), int(a[ok[-1]])) if len(ok) else None
-
-    def triple(gap: int) -> tuple[int, ...] | None:
-        for c in np.flatnonzero(free[: gap - 1])[::-1]:
-            if 3 * c < gap:
-                return None
-            free[c] -= 1
-            rest = pair(gap - int(c))
-            free[c] += 1
-            if rest:
-                return (int(c), *rest)
-        return None
-
+    index = SumIndex(free)
     patterns = []
     while (left := np.flatnonzero(free)).size:
         top = int(left[-1])
@@ -136,7 +177,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
         free[top] -= 1
         gap = capacity - top
         while gap:
-            fill = single(gap) or pair(gap) or triple(gap)
+            fill = index.exact(gap)
             if not fill:
                 fits = np.flatnonzero(free[: gap + 1])
                 if not fits.size:
@@ -170,15 +211,16 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[in
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a table of pieces (a table that rereads alike)."""
+    """Add ``sequence_id`` and ``offset`` to pieces."""
+    pieces = keyed(pieces, "pieces", "row")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = slots(plan(counts, capacity))
     salts = max(1, math.isqrt(sum(counts.values())))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     run_up = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "salt", F.coalesce(F.sum("n").over(run_up), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(before, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).cast("long").alias("rank"))
 
@@ -203,4 +245,4 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocab_json: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(cut(token_pieces(docs, vocab_json or default_vocab(), capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack_pieces(token_pieces(docs, vocab_json or default_vocab(), capacity, end_id, id_col, text_col), capacity)
