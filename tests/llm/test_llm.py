@@ -94,7 +94,6 @@ def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocab())
-    t.encode_special_tokens = True
     import zlib
 
     want = []
@@ -142,6 +141,57 @@ def test_exact_fill():
         packing.plan({3000: 1}, 2048)
 
 
+def fewest(pieces, capacity):
+    """Fewest sequences by exhaustive search."""
+    pieces = sorted(pieces, reverse=True)
+
+    def fits(i, room):
+        if i == len(pieces):
+            return True
+        return any(room[j] >= pieces[i] and room[j] not in room[:j] and fits(i + 1, (*room[:j], room[j] - pieces[i], *room[j + 1 :])) for j in range(len(room)))
+
+    return next(k for k in range(-(-sum(pieces) // capacity), len(pieces) + 1) if fits(0, (capacity,) * k))
+
+
+def test_packing_against_exhaustive_search():
+    rng = np.random.default_rng(0)
+    over = Counter()
+    for _ in range(200):
+        capacity = int(rng.integers(6, 20))
+        pieces = rng.integers(1, capacity + 1, int(rng.integers(1, 11))).tolist()
+        found, used = packing.plan(dict(Counter(pieces)), capacity), Counter()
+        for times, took in found:
+            assert sum(size * n for size, n in took.items()) <= capacity
+            for size, n in took.items():
+                used[size] += times * n
+        assert used == Counter(pieces)
+        over[sum(times for times, _ in found) - fewest(pieces, capacity)] += 1
+    assert over[0] >= 198 and max(over) <= 1
+
+
+def test_sum_index():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        free = rng.integers(0, 3, 25)
+        free[0] = 0
+        index = packing.SumIndex(free)
+        for _ in range(30):
+            total = int(rng.integers(1, 25))
+            for size, found in ((2, index.pair(total)), (3, index.triple(total))):
+                some = [c for c in __import__("itertools").combinations_with_replacement(range(1, 25), size) if sum(c) == total and all(free[x] >= n for x, n in Counter(c).items())]
+                assert (found is None) == (not some)
+                assert found is None or tuple(sorted(found)) in some
+            drop = int(rng.integers(1, 25))
+            free[drop] = max(0, free[drop] - 1)
+
+
+def test_packing_repeated_rows(spark):
+    rows = [(None, "", "en", "s")] * 5000 + [(1, "same text", "en", "s")] * 5000
+    got = packing.pack_documents(docs_of(spark, rows)).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(got) == len(places) == 10_000 and len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 2048)
+
+
 def test_mixing(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 3 * r["size"] for r in rows)
@@ -220,6 +270,14 @@ def test_pii_discovers_next_to_others(spark):
         assert got[200 + i] == want | set(filter(None, brute_base(t).split(","))), t
 
 
+def test_pii_many_matches_in_one_text(spark):
+    text = "é, " + "; ".join(f"u{i}@ex.com or 10.0.{i % 256}.7" for i in range(6000))
+    got = pii.extract(docs_of(spark, [(1, text, "en", "s")])).select(pii.joined(F.col("base")).alias("b"), F.size("spans").alias("n")).first()
+    assert got.b == brute_base(text) and got.n == 12_000
+    clean = pii.redact(docs_of(spark, [(1, text, "en", "s"), (2, None, "en", "s"), (3, "", "en", "s")])).collect()
+    assert {r.doc_id: r.text for r in clean} == {1: "é, " + "; ".join(["<email> or <ip>"] * 6000), 2: None, 3: ""}
+
+
 def test_language(spark, odd, empty):
     train = docs_of(spark, [(i, EN if i % 2 else DE, "en" if i % 2 else "de", "s") for i in range(60)])
     model = langid.fit(train)
@@ -343,6 +401,56 @@ def test_permutation_index_by_length(spark, points):
     assert sorted(r[2] for r in got if r[0] == 2000) == [2001, 2002]
 
 
+def test_permutation_index_repeats_and_extremes(spark, points):
+    find = lambda rows, **o: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in permindex.search(vectors_of(spark, rows), F.col("vec_id") % 50 == 0, **o).collect())
+    plain = find(points)
+    again = find(points + [points[50], points[50], points[72]])
+    assert again == plain and all(len({r[2] for r in plain if r[0] == q}) == 5 for q in range(0, 400, 50))
+    # a second vector of a query's id asks too; neighbours stay distinct
+    both = [r for r in find([*points, (50, 0, points[0][2], "", "")]) if r[0] == 50]
+    assert len({r[2] for r in both}) == 5
+    doubles = lambda scale: spark.createDataFrame([(p[0], [v * scale for v in p[2]]) for p in points], "vec_id long, embedding array<double>")
+    for scale in (1e200, 1e-200, 1e300):
+        got = permindex.search(doubles(scale), F.col("vec_id") % 50 == 0).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [r[:3] for r in plain]
+        assert all(abs(r.score) <= 1 + 1e-12 for r in got) and max(r.score for r in got) > 0.5
+
+
+def test_permutation_index_recall(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    rows = [(i, 0, x[i].tolist(), "", "") for i in range(len(x))]
+    got = defaultdict(set)
+    for r in permindex.search(vectors_of(spark, rows), F.col("vec_id") % 50 == 0, shard_rows=2500).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    hit = 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit / 600 >= 0.9
+    pivots, prefix, share = permindex.fit(spark.createDataFrame([(64, [float(v) for v in p]) for p in x[:3000]], "width int, vec array<double>"), {64: 3000}, 5, 1024, 64, 0.96, 20_000)[64]
+    assert share < 0.5 and prefix == 64
+
+
+def test_multiindex_skewed_labels_and_odd_lengths(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 16))
+    x[500:1000] = x[:500] + rng.normal(size=(500, 16)) * 0.1
+    label = [0 if i < 2400 else 1 + i // 2 for i in range(3000)]
+    rows = [(i, label[i], [float(v) for v in np.float32(x[i])], "", "") for i in range(3000)]
+    odd = [(5000, 0, [1.0] * 17, "", ""), (5001, 0, [2.0] * 17, "", ""), rows[3], (rows[3][0], 0, rows[700][2], "", "")]
+    u = np.array([r[2] for r in rows], float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    link = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None]) & ~np.eye(3000, dtype=bool)
+    got = {r.vec_id: r.n_links for r in multiindex.near_vectors(vectors_of(spark, rows), fit_sample=400, per_cell=8).collect()}
+    want = link.sum(1)
+    assert sum(min(got[i], want[i]) for i in range(3000)) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(3000))
+    more = multiindex.near_vectors(vectors_of(spark, rows + odd), fit_sample=10, per_cell=8).collect()
+    assert len(more) == 3004 and {r.n_links for r in more if r.vec_id > 4999} == {1}
+
+
 def test_licenses(spark, odd, empty):
     mit = licenses.KNOWN["MIT"]
     shouted = "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace('"', "``").replace(". ", ".\n\n")
