@@ -1,33 +1,40 @@
 """Operator 5: language identification of mixed-language text.
 
-A word's script narrows the candidate languages (those that showed the script in training). Its
-score under each candidate is a padded character trigram model with backoff. Viterbi with a
+A word is a run of letters and combining marks; in scripts written without spaces it is a piece of at
+most ``UNSPACED_PIECE`` of them. Its script, that of its first letter, narrows the candidate languages
+to those that showed the script in training, for every script. Its score under each candidate is a
+padded character trigram model with backoff. Viterbi with a
 switching penalty then labels every word, and so the spans of a text. Viterbi runs over blocks of
 ``BLOCK`` words, for all blocks of a batch at once: a first pass gives each block's best path
 between any two languages, blocks are chained, and a second pass labels the words.
 
 Only the sample that fits the model is bounded (``sample`` documents a language, by a hash of the
-id); prediction reads every whole text.
+id); prediction reads every whole text. Grams of two or three characters that a language showed once
+in the sample are left out of its model (most are slips, and they would be most of its size).
 
 Defined results: null text or no letter gives ``und`` and score 0; ties go to the smaller code
 point; a table without labels predicts ``und`` throughout; null doc_ids are never learned from and
-count as held out; repeated rows each give a row; further columns are ignored.
+count as held out; a word in a script no language showed has no say; an empty table gives no rows; very
+long texts are labelled whole, block by block, and take memory in proportion; repeated rows each give a
+row; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 128
+BLOCK, UNSPACED_PIECE = 128, 4
 #: First and last code points of scripts; letters elsewhere count as "other".
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
@@ -35,8 +42,30 @@ SCRIPTS = (
     ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("latin", 0x1E00, 0x1EFF),
     ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
+#: Code points of scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
+def _letters() -> tuple[str, str]:
+    """Insides of character classes of letters and marks, of spaced and of unspaced scripts."""
+    ranges: dict[bool, list[list[int]]] = {False: [], True: []}
+    for code in range(0x41, sys.maxunicode + 1):
+        if unicodedata.category(chr(code))[0] in "LM":
+            own = ranges[any(low <= code <= high for low, high in UNSPACED)]
+            if own and own[-1][1] == code - 1:
+                own[-1][1] = code
+            else:
+                own.append([code, code])
+    return tuple("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges[kind]) for kind in (False, True))
+
+
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    spaced, unspaced = _letters()
+    return re.compile(f"[{spaced}]+|[{unspaced}]{{1,{UNSPACED_PIECE}}}")
+
+
+@lru_cache(maxsize=100_000)
 def script_of(char: str) -> str:
     code = ord(char)
     return next((name for name, low, high in SCRIPTS if low <= code <= high), "other")
@@ -74,7 +103,7 @@ def fit(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: s
             counts: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, Counter())
-                for word, n in Counter(WORD.findall(text.lower())).items():
+                for word, n in Counter(word_pattern().findall(text.lower())).items():
                     for g in grams(word):
                         own[g] += n
             flat = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
@@ -114,6 +143,12 @@ class Scorer:
         self.model, self.spread, self.keep, self.np = model, spread, keep, np
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, len(model.langs)), np.float32)
+        # kinds of words: 0 of a script no language showed, 1 without a letter, then one a script
+        self.kinds = {script: i + 2 for i, script in enumerate(sorted(model.scripts))}
+        self.allowed = np.ones((len(self.kinds) + 2, len(model.langs)), bool)
+        for script, i in self.kinds.items():
+            self.allowed[i] = np.isin(np.arange(len(model.langs)), model.scripts[script])
+        self.says = np.r_[0, np.ones(len(self.kinds) + 1)].astype(np.float32)
 
     def learn(self, words: list[str]) -> None:
         np, m = self.np, self.model
@@ -134,16 +169,10 @@ class Scorer:
                 back.append(steps)
         s = np.add.reduceat(m.scores[ids] + np.array(back, np.float32)[:, None] * np.float32(math.log(0.4)), starts, axis=0)
         s = np.maximum(s - s.max(axis=1, keepdims=True), -self.spread)
-        for j, w in enumerate(words):
-            first = next((c for c in w if c.isalpha()), None)
-            if first is None:
-                s[j] = np.nan  # no letter: no word
-            elif first > "ɏ" or first < "A":
-                few = m.scripts.get(script_of(first))
-                if few is None:
-                    s[j] = 0
-                else:
-                    s[j, [i for i in range(len(m.langs)) if i not in few]] = -self.spread
+        heads = [w[0] if w[0].isalpha() else next((c for c in w if c.isalpha()), "") for w in words]
+        kind = np.fromiter((self.kinds.get(script_of(c), 0) if c else 1 for c in heads), np.int64, len(heads))
+        s = np.where(self.allowed[kind], s, -np.float32(self.spread)) * self.says[kind][:, None]
+        s[kind == 1] = np.nan  # no letter: no word
         self.index.update((w, len(self.table) + j) for j, w in enumerate(words))
         self.table = np.concatenate([self.table, s])
 
@@ -231,7 +260,7 @@ def spans(text: str, model: LanguageModel, penalty: float = 6.0) -> list[tuple[i
     """Spans (start, end, lang) of one text, in code points of its lower-cased form."""
     import numpy as np
 
-    found = list(WORD.finditer((text or "").lower()))
+    found = list(word_pattern().finditer((text or "").lower()))
     score = Scorer(model)([m.group() for m in found])
     keep = np.flatnonzero(~np.isnan(score).any(axis=1)) if len(found) and model.langs else []
     out: list[tuple[int, int, str]] = []
@@ -276,7 +305,7 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col:
         for batch in batches:
             words, counts, start = [], [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
-                own = WORD.findall(text.lower()) if text else []
+                own = word_pattern().findall(text.lower()) if text else []
                 words += own
                 counts.append(len(own))
                 if len(words) >= words_at_once or i == batch.num_rows - 1:
