@@ -1,6 +1,6 @@
 """Operator 1: licence scan by canonical digest lookup.
 
-Case, copyright lines, punctuation, white space and equivalent spellings are normalised away; the
+Case, copyright lines, list marks, punctuation, white space and equivalent spellings are normalised away; the
 SHA-256 of what is left is joined to the digests of known licence texts. Whole texts only, all in
 DataFrame functions. Known licences are a parameter (license_id, text); ``known_licenses`` holds the
 short ones of ``KNOWN`` with and without their titles and the texts in ``license_texts``, with and
@@ -31,6 +31,8 @@ NOTICE_LINE = (
     r"|©|\(c\)[ \t]*(?:copyright|[0-9<\[{])|all rights reserved)[^\n]*|(?:^\s*|\n[ \t\r]*\n[ \t]*)\(c\)[^\n]*(?=\n[ \t\r]*\n|\s*$)"
 )
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—…©«»·•]+"
+#: A list mark at the start of a line, or after the end of a sentence: a number, a letter or a sign.
+LIST_MARK = r"(^|\n|[.:;][ \t\r\n])[ \t\r\n#>/]*(\(?[0-9]{1,2}[.)]|\(?[a-z]\)|[*•-])[ \t\r\n]"
 #: Spellings that count as equal (left becomes right).
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -73,9 +75,13 @@ TERMS_END = "END OF TERMS AND CONDITIONS"
 
 def canonical(text: Column, notices: str = COPYRIGHT_LINE) -> Column:
     t = F.regexp_replace(F.translate(text, UPPER, LOWER), notices, "\n")
+    t = F.regexp_replace(t, LIST_MARK, "$1 ")
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, "  "), F.lit(" "))
-    for spelling, usual in EQUIVALENT:
-        t = F.replace(t, F.lit(f" {spelling} "), F.lit(f" {usual} "))
+    usual = t
+    for spelling, other in EQUIVALENT:
+        usual = F.replace(usual, F.lit(f" {spelling} "), F.lit(f" {other} "))
+    # one look at the text tells whether any spelling occurs in it
+    t = F.when(t.rlike(f" (?:{'|'.join(sorted(spelling for spelling, _ in EQUIVALENT))}) "), usual).otherwise(t)
     return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
@@ -114,6 +120,7 @@ def scan_sql() -> str:
 
     def sql(text: str) -> str:
         t = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+        t = f"regexp_replace({t}, {quote(LIST_MARK)}, '\\1 ', 'g')"
         t = f"' ' || regexp_replace({t}, {quote(PUNCTUATION)}, '  ', 'g') || ' '"
         for spelling, usual in EQUIVALENT:
             t = f"replace({t}, ' {spelling} ', ' {usual} ')"
