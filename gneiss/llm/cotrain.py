@@ -4,9 +4,9 @@ Two views of a document learn apart: its text (character and word statistics, ha
 page metadata (language, source, length, layout). In each round either view scores every unlabelled
 document and hands all those it is sure of to the other. At the end both are calibrated on labelled
 documents that were kept out of training, their calibrated log-odds are combined by a small logistic
-model fitted there, and every document is scored from its whole text.
+model fitted on others that were kept out, and every document is scored from its whole text.
 
-Only labelled rows are bounded (``labelled`` documents, by a hash of the id). The features of all
+Only labelled rows are bounded (``labelled`` of them, by a hash of the id, repeated rows counted each). The features of all
 unlabelled documents are a table in the shared folder; fits sum its gradients and Hessians where the
 rows are, and the driver holds one small matrix a partition. ``share`` and ``pool`` leave no document
 out: they bound the weight of what a view hands over in a round (``share`` of the unlabelled
@@ -14,8 +14,8 @@ documents a class, counted as ``pool`` at most), so that labelled rows keep thei
 
 Defined results: null text counts as empty; null metadata is a value of its own; with no labels, or
 labels of one class only, every score is 0.5 or that class's smoothed share; null doc_ids are scored
-and never used for fitting; repeated rows each give a row; an empty table gives no rows; further
-columns are ignored.
+and never used for fitting; repeated rows each give a row; an empty table gives no rows; very long
+texts are read whole, in one pass; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,13 +125,13 @@ class CoModel:
 
 
 def cotrain(text, meta, y, n_pool: int = 0, sums=None, rounds: int = 4, share: float = 0.05, sure: float = 0.95, pool: int = 6000, steps: int = 12) -> CoModel:
-    """``y``: 1 or 0. Rows are in hash order, so every fourth is a fair fold. ``sums(past, weights, w)``
+    """``y``: 1 or 0. Rows are in hash order, so every eighth is a fair fold; one calibrates, one combines. ``sums(past, weights, w)``
     is ``pool_sums`` over all ``n_pool`` unlabelled rows."""
     import numpy as np
 
     known = np.arange(len(y))
-    fold, train = known[::4], np.setdiff1d(known, known[::4])
-    if len(np.unique(y[train])) < 2 or len(np.unique(y[fold])) < 2:
+    fold, last, train = known[::8], known[4::8], known[known % 4 > 0]
+    if any(len(np.unique(y[part])) < 2 for part in (train, fold, last)):
         p = (np.sum(y) + 1) / (len(known) + 2)
         return CoModel(np.zeros(text.shape[1]), np.zeros(meta.shape[1]), ((0.0, 0.0), (0.0, 0.0)), np.array([np.log(p / (1 - p)), 0.0, 0.0]))
     views = (text.astype(np.float64), meta.astype(np.float64))
@@ -154,10 +154,10 @@ def cotrain(text, meta, y, n_pool: int = 0, sums=None, rounds: int = 4, share: f
             if step < 1e-3:
                 break
     ones = np.ones(len(fold))
-    z = [views[v][fold] @ w[v] for v in (0, 1)]
-    platt = [_logistic(np.c_[ones, x], y[fold], ones, 1e-2) for x in z]
-    both = np.c_[ones, *[np.clip(x * c[1] + c[0], -20, 20) for x, c in zip(z, platt, strict=True)]]
-    return CoModel(w[0], w[1], tuple((float(c[1]), float(c[0])) for c in platt), _logistic(both, y[fold], ones, 1e-2))
+    platt = [_logistic(np.c_[ones, views[v][fold] @ w[v]], y[fold], ones, 1e-2) for v in (0, 1)]
+    ones = np.ones(len(last))
+    both = np.c_[ones, *[np.clip(views[v][last] @ w[v] * platt[v][1] + platt[v][0], -20, 20) for v in (0, 1)]]
+    return CoModel(w[0], w[1], tuple((float(c[1]), float(c[0])) for c in platt), _logistic(both, y[last], ones, 1e-2))
 
 
 def _features(text, lang, source):
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 60
     made = made.mapInArrow(run, "doc_id long, a binary, b binary")
     table = cut(made.join(truth, F.col("doc_id") == F.col("id"), "left").select("doc_id", "y", "a", "b"), "cotrain-features")
     n_known, n_all = table.agg(F.count("y"), F.count("*")).first()
-    found = table.where(F.col("y").isNotNull() & (draw < min(1.0, labelled / max(1, n_known)))).orderBy(F.xxhash64(F.lit(7), "doc_id"), "a").toArrow()
+    found = table.where(F.col("y").isNotNull() & (draw < min(1.0, labelled / max(1, n_known)))).orderBy(F.xxhash64(F.lit(7), "doc_id"), "a").limit(labelled).toArrow()
     unlabelled = table.where("y is null").select("a", "b")
 
     def sums(past, weights, w):
