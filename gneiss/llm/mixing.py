@@ -28,19 +28,41 @@ from .common import cut, word_count
 DONE = "array<struct<doc_id:bigint,k:bigint,size:bigint,bit:int>>"
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """Add ``place``, from 0 by code point order with null last. Sources are sorted into ranges and counted a
+    range at a time; the driver holds one count a range."""
+    spark = sources.sparkSession
+    ranged = cut(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("range").count().collect()):
+        offsets.append((r["range"], before))
+        before += r["count"]
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    offset = F.broadcast(spark.createDataFrame(offsets, "range int, before long"))
+    return ranged.withColumn("within", within).join(offset, "range").select(*sources.columns, (F.col("before") + F.col("within")).alias("place"))
+
+
 def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """``sources(source, source_size)`` -> plus ``target``. Weights repeat by code point order, null
-    last; shares stop at ``most`` times the source and the excess is reshared by weight. In order of
-    cap / weight the level is the largest of (rest of the total) / (rest of the weights)."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))).cast("int") + 1)
-    s = sources.withColumn("w", w).withColumn("cap", most * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    upto, every = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    rest = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
-    rest_w = F.sum("w").over(every) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))
-    s = s.withColumn("level", rest / rest_w)
-    return s.select("source", "source_size", F.least("cap", F.col("w") * F.max("level").over(every)).alias("target"))
+    last; shares stop at ``most`` times the source and the excess is reshared by weight until none is
+    above. The share of a weight of one only grows from round to round, and each round is one sum."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
+    s = cut(numbered(sources).select("source", "source_size", w.alias("w"), (most * F.col("source_size")).alias("cap")), "mix-weights")
+    total, level, capped = s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        n, used, rest = s.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if n == capped or rest is None:
+            break
+        capped, level = n, (total - (used or 0.0)) / rest
+    return s.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
+
+
+def copies_of(n: Column, at_once: int = 4096) -> tuple[Column, Column]:
+    """Two generators in turn that number ``n`` equal rows from 0, without an array of all of them."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.lit(at_once)).cast("long")))
+    then = F.explode(F.sequence(F.col("_turn") * at_once, F.least(n, (F.col("_turn") + 1) * at_once) - 1))
+    return first, then
 
 
 def _duel(seed: int):
@@ -80,7 +102,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(p + 1e-12)
     goal = goal.withColumnRenamed("source", "_source")
-    rows = alike.join(goal, F.col("source").eqNullSafe(F.col("_source"))).select("source", "source_size", "target", whole.cast("int").alias("base"), "doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"), (F.greatest(p - whole, F.lit(0.0)) * F.col("size")).alias("mass"))
+    rows = alike.join(goal, F.col("source").eqNullSafe(F.col("_source"))).select("source", "source_size", "target", whole.cast("int").alias("base"), "doc_id", "size", "n", (F.greatest(p - whole, F.lit(0.0)) * F.col("size")).alias("mass"))
+    first, then = copies_of(F.col("n"))
+    rows = rows.withColumn("_turn", first).withColumn("k", then).drop("_turn", "n")
     out = ["doc_id", "k", "source", "size", "source_size", "target", "base", "bit"]
     settled = rows.where("mass <= 0").withColumn("bit", F.lit(None).cast("int")).select(*out)
     level = cut(_level(rows.where("mass > 0").withColumn("class", F.floor(F.log2("size"))), ["source", "class"], group, seed), "mix-level")
