@@ -90,6 +90,22 @@ def test_simhash_documents(spark, odd, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_simhash_components_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(25)]
+    for t in texts[:10]:
+        parts = t.split()
+        parts[int(rng.integers(30))] = "changed"
+        texts += [" ".join(parts), t, t + " tail"]
+    rows = [(100 - i, t, "en", "s") for i, t in enumerate(texts)] + [(900, "", "en", "s"), (901, None, "en", "s")]
+    fps = {i: simhash.fingerprint((t or "").encode()) & (2**64 - 1) for i, t, _, _ in rows}
+    root = {i: i for i in fps}
+    for _ in range(len(fps)):
+        root = {i: min(root[j] for j in fps if bin(fps[i] ^ fps[j]).count("1") <= 2) for i in fps}
+    assert {r.doc_id: r.component_id for r in simhash.simhash_groups(docs_of(spark, rows)).collect()} == root
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
@@ -219,6 +235,23 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_draw_and_many_sources(spark):
+    # equal documents: taken by share, whatever their id
+    rows = mixing.mix(docs_of(spark, [(i, "a b c", "en", "s0" if i < 1500 else "s1") for i in range(2000)])).collect()
+    one = [r for r in rows if r.source == "s1"]
+    assert abs(sum(r.taken for r in one) - one[0].target) <= 3 and {r.copies for r in one} == {1, 2}
+    most = [r for r in rows if r.source == "s0"]
+    share = most[0].target / most[0].source_size
+    for half in (most[:750], most[750:]):
+        assert abs(sum(r.copies for r in half) / 750 - share) < 5 * math.sqrt(share * (1 - share) / 750)
+    # repeated rows beyond one array of copies, and sources in code point order over several ranges
+    got = mixing.mix(docs_of(spark, [(7, "x y", "en", "s")] * 9000)).agg(F.count("*"), F.countDistinct("copies")).first()
+    assert tuple(got) == (9000, 1)
+    names = [f"n{i:03d}" for i in range(300)] + [None, "é", "Z"]
+    placed = {r.source: r.place for r in mixing.numbered(spark.createDataFrame([(x, 1) for x in names], "source string, source_size long").repartition(9)).collect()}
+    assert [placed[x] for x in [*sorted(x for x in names if x), None]] == list(range(303))
+
+
 def brute_base(text):
     def luhn(d):
         return sum(v - 9 if v > 9 else v for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
@@ -290,6 +323,60 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_narrows_by_script_and_keeps_marks(spark):
+    assert langid.word_pattern().findall("हिन्दी தமிழ் naïve cafe\u0301 2abc a_b 東京都庁舎") == ["हिन्दी", "தமிழ்", "naïve", "cafe\u0301", "abc", "a", "b", "東京都庁", "舎"]
+    hindi = "यह एक वाक्य है और यह भी हिन्दी में है "
+    model = langid.fit(docs_of(spark, [(i, EN if i % 2 else hindi, "en" if i % 2 else "hi", "s") for i in range(40)]))
+    score = langid.Scorer(model)(["zqxj", "है", "слово", "\u0301"])
+    en, hi = model.langs.index("en"), model.langs.index("hi")
+    assert score[0, hi] == -12 < score[0, en] and score[1, en] == -12 < score[1, hi]
+    assert score[2].tolist() == [0, 0] and np.isnan(score[3]).all()
+
+
+def held_out_rows(name):
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    return str(folder / f"{name}.parquet")
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(held_out_rows("documents"))
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held))
+    truth = {r.doc_id: r.lang for r in docs.where(held & F.col("lang").isNotNull()).select("doc_id", "lang").collect()}
+    got = [(r.lang_pred, truth[r.doc_id]) for r in langid.predict(docs.where(held).select("doc_id", "text"), model).collect() if r.doc_id in truth]
+    assert len(got) > 100 and sum(a == b for a, b in got) / len(got) >= 0.97
+
+
+def test_cotraining_held_out(spark):
+    docs, labels = spark.read.parquet(held_out_rows("documents")), spark.read.parquet(held_out_rows("labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    model = cotrain.fit(docs, labels.where(~held))
+    truth = {r.doc_id: r.quality for r in labels.where(held).collect()}
+    score = {r.doc_id: r.score for r in cotrain.score(docs.join(labels.where(held).select("doc_id"), "doc_id"), model).collect()}
+    good, bad = ([score[i] for i in truth if truth[i] == y] for y in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(bad) >= 10 and auc >= 0.95
+
+
+def test_cotraining_scores_by_hand(spark):
+    """Scores of a fitted model are the stated formula of its parts, computed from plain features."""
+    rows = [(i, "plain prose about things that matter " * 5 if i % 2 else "SPAM!!! " * (10 + i % 30), "en", "ab"[i % 2]) for i in range(200)]
+    docs = docs_of(spark, rows)
+    model = cotrain.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    sure = lambda z: 1 / (1 + math.exp(-z))
+    for r in cotrain.score(docs, model).collect():
+        _, text, lang, source = rows[r.doc_id]
+        a = float(cotrain.text_features(text.encode()).astype(float) @ model.text) * model.calibrate[0][0] + model.calibrate[0][1]
+        b = float(cotrain.meta_features(lang, source, text.encode()).astype(float) @ model.meta) * model.calibrate[1][0] + model.calibrate[1][1]
+        a, b = (max(-20, min(20, v)) for v in (a, b))
+        want = sure(a), sure(b), sure(model.combine[0] + model.combine[1] * a + model.combine[2] * b)
+        assert (r.text_score, r.meta_score, r.score) == pytest.approx(want, abs=1e-4)
+
+
 def test_viterbi_blocks():
     rng = np.random.default_rng(0)
     lengths = [0, 1, 127, 128, 129, 700, 3]
@@ -475,6 +562,13 @@ def test_licenses_known_texts_titles_and_notices(spark):
     assert [got[i].license_id for i in range(len(cases))] == [k for k, _ in cases]
 
 
+def test_licenses_list_marks(spark):
+    bsd = licenses.KNOWN["BSD-3-Clause"]
+    forms = [bsd.replace(" 1. ", "\n  * ").replace(" 2. ", "\n  * ").replace(" 3. ", "\n  * "), bsd.replace(" 1. ", "\n\n1) ").replace(" 2. ", "\n\n2) ").replace(" 3. ", "\n\n3) "), bsd.replace(" 1. ", "\n(a) ").replace(" 2. ", "\n(b) ").replace(" 3. ", "\n(c) "), bsd.replace("1. ", "").replace("2. ", "").replace("3. ", "")]
+    got = licenses.scan(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(forms)])).collect()
+    assert {r.license_id for r in got} == {"BSD-3-Clause"}
+
+
 def test_cotraining(spark, odd, empty):
     rng = np.random.default_rng(2)
     good = lambda: " ".join(rng.choice(["plain", "prose", "about", "things", "that", "matter"], 40))
