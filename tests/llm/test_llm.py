@@ -428,6 +428,25 @@ def test_katz(spark, odd, empty):
         want = sorted((str(r.doc_id), round(sum(math.log10(p(a, b)) for a, b in zip([b"<s>", *words(r.text)[:-1]], words(r.text))), 5), round(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in words(r.text)), 5)) for r in rows)
         assert [(a, pytest.approx(b, abs=1e-4), pytest.approx(c, abs=1e-4)) for a, b, c in want] == sorted((str(r.doc_id), round(r.score, 5), round(r.base_score, 5)) for r in got)
     assert katz.score(empty).count() == 0
+    for tokens in (10**6, 400):  # the stored tables give the same probabilities, token by token
+        model = katz.fit(odd, block_tokens=tokens, deal_tokens=500)
+        found = katz.evaluate(odd, model).collect()
+        assert sorted((str(r.doc_id), r.n_tokens) for r in found) == sorted((str(r.doc_id), len(words(r.text))) for r in rows)
+        assert sorted((str(r.doc_id), r.score) for r in found) == [(a, pytest.approx(b, abs=1e-4)) for a, b, _ in want]
+        assert model.bigrams.count() == len(bi) and model.bigrams.agg(F.sum("n")).first()[0] == sum(bi.values())
+        assert {r.h: r.n for r in model.words.collect()}[katz.END] == uni[b""]
+
+
+def test_katz_normalises_exactly(spark, odd):
+    """For every context: seen words, unseen words and the unknown word add up to one."""
+    model = katz.fit(odd, block_tokens=400, deal_tokens=500)
+    p = {r.h: 10**r.log_p for r in model.words.collect()}
+    seen = defaultdict(dict)
+    for r in model.bigrams.collect():
+        seen[r.context][r.word] = 10**r.log_p
+    for r in model.contexts.collect():
+        rest = sum(x for w, x in p.items() if w not in seen[r.context]) + 10**model.unknown
+        assert math.isclose(sum(seen[r.context].values()) + 10**r.backoff * rest, 1, rel_tol=1e-9)
 
 
 def vectors_of(spark, rows):
