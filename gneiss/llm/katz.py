@@ -45,6 +45,8 @@ CUT, DELTA = 5, 0.5
 #: Keys that no word's hash is meant to take: the end token and the context before the first token.
 END, START = 1, 2
 CONTEXT_BITS = 48
+#: Sums of logarithms of a document travel as whole multiples of 2 ** -28.
+FIXED, UNIT = ("base", "part"), 1 << 28
 BLOB = "p int, kind int, chunk long, blob binary"
 #: Blocks, and as rows of their own the bigrams (kind 7).
 TABLE = BLOB + ", context long, word long, n long"
@@ -58,8 +60,8 @@ def _press():
 
 
 def _pack(**arrays) -> bytes:
-    """Arrays by name: word hashes and reals as they are, contexts in six bytes, counts as bytes of equal
-    weight together, compressed."""
+    """Arrays by name: word hashes and reals as they are, contexts in six bytes, counts and fixed-point sums
+    (``FIXED``) as bytes of equal weight together, compressed."""
     import numpy as np
 
     about, plain, small = [], [], []
@@ -67,6 +69,10 @@ def _pack(**arrays) -> bytes:
         if name == "context":
             about.append((name, "context", len(a)))
             plain.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8].tobytes())
+        elif name in FIXED:
+            a = np.ascontiguousarray((a << 1) ^ (a >> 63))
+            about.append((name, "fixed", len(a)))
+            small.append(a.view(np.uint8).reshape(-1, 8).T.tobytes())
         elif a.dtype.kind == "u" and a.dtype.itemsize < 8 or a.dtype.kind == "b":
             a = a.astype(np.min_scalar_type(int(a.max(initial=0)))) if a.dtype.kind == "u" else a.astype(np.uint8)
             about.append((name, a.dtype.str, len(a)))
@@ -90,6 +96,11 @@ def _unpack(blob: bytes) -> dict:
             out[name] = wide.view(np.uint64).ravel()
             at += n * size
             continue
+        if kind == "fixed":
+            raw = np.ascontiguousarray(np.frombuffer(small, np.uint8, n * 8, at_small).reshape(8, -1).T).view(np.uint64).ravel()
+            out[name] = (raw >> np.uint64(1)).view(np.int64) ^ -(raw & np.uint64(1)).view(np.int64)
+            at_small += n * 8
+            continue
         dtype = np.dtype(kind)
         if dtype.kind == "u" and dtype.itemsize < 8:
             raw = np.frombuffer(small, np.uint8, n * dtype.itemsize, at_small)
@@ -192,6 +203,15 @@ def _firsts(*keys):
     return np.flatnonzero(change)
 
 
+def _ungapped(gap, runs):
+    """Values from their gaps; the first of each run is a value itself."""
+    import numpy as np
+
+    value = np.cumsum(gap, dtype=np.int64)
+    first = np.cumsum(runs, dtype=np.int64) - runs
+    return value - np.repeat(value[first] - gap[first], runs)
+
+
 def _deal(hot, parts: int, tokens_at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -230,14 +250,15 @@ def _deal(hot, parts: int, tokens_at_once: int):
             words, count = h2[order[first]], np.diff(np.r_[first, len(h2)]).astype(np.uint32)
             edges, word_at = np.searchsorted(place[order], np.arange(parts + 1)), np.searchsorted(place[order[first]], np.arange(parts + 1))
             which = (which[order] - before_at[place[order]]).astype(np.uint32)
-            doc = doc[order]
+            gap = np.diff(doc[order].astype(np.int64), prepend=0)
+            gap[first] = doc[order[first]]  # documents rise within a word
             train = np.array(flags, bool)
             null = np.array([i is None for i in ids], bool)
             info = _pack(ids=np.array([i or 0 for i in ids], np.int64), null=null, train=train, size=size)
             out = [(name % parts, 5, name, info)]
             for p in np.flatnonzero(np.diff(edges)):
                 at, w, c = slice(edges[p], edges[p + 1]), slice(word_at[p], word_at[p + 1]), slice(before_at[p], before_at[p + 1])
-                out.append((int(p), 1, name, _pack(words=words[w], n=count[w], context=before[c], which=which[at], doc=doc[at], train=train)))
+                out.append((int(p), 1, name, _pack(words=words[w], n=count[w], context=before[c], which=which[at], gap=gap[at].astype(np.uint32), train=train)))
             for i in range(0, len(out), 16):
                 yield _rows(out[i : i + 16])
 
@@ -336,7 +357,7 @@ def _count(unigram, hot, hot_n, parts: int, back: int):
             train = np.concatenate([b["train"] for _, b in tokens]).astype(bool)
             h2 = np.concatenate([np.repeat(b["words"], b["n"]) for _, b in tokens])
             h1 = np.concatenate([b["context"][b["which"]] for _, b in tokens])
-            doc = np.concatenate([b["doc"].astype(np.int32) + np.int32(at) for at, (_, b) in zip(base, tokens, strict=True)])
+            doc = np.concatenate([_ungapped(b["gap"], b["n"]).astype(np.int32) + np.int32(at) for at, (_, b) in zip(base, tokens, strict=True)])
             chunks = [chunk for chunk, _ in tokens]
             del tokens
             order = np.lexsort((h1, h2))
@@ -353,7 +374,7 @@ def _count(unigram, hot, hot_n, parts: int, back: int):
             part = np.where(c12 > CUT, np.log10(np.maximum(c12 - DELTA, DELTA)), np.where(c12 == 0, log_u, 0.0))
             part -= np.where((w2 != END) & (c2 > 0), np.log10(np.maximum(c2, 1)), 0.0)
             total = int(n_docs.sum())
-            sums = {"base": np.bincount(doc, np.repeat(np.log10(c2 + 1.0), width), total), "part": np.bincount(doc, np.repeat(part, width), total)}
+            sums = {name: np.rint(np.bincount(doc, np.repeat(value, width), total) * UNIT).astype(np.int64) for name, value in (("base", np.log10(c2 + 1.0)), ("part", part))}
             for name, flag in [("known", c2 > 0), *[(f"n{r}", c12 == r) for r in range(1, CUT + 1)]]:
                 sums[name] = np.bincount(doc[np.repeat(flag, width)], minlength=total).astype(np.uint32)
             some = np.bincount(doc, minlength=total) > 0
@@ -438,7 +459,7 @@ def _gather(unigram):
                     if kind == 0:
                         for k, v in b.items():
                             if k != "doc":
-                                total.setdefault(k, np.zeros(len(info["ids"]), np.float64 if v.dtype.kind == "f" else np.int64))
+                                total.setdefault(k, np.zeros(len(info["ids"]), np.int64))
                                 total[k][b["doc"]] += v
                 out.append((q, 0, chunk, _pack(**info, **total)))
             del mine
@@ -560,7 +581,7 @@ def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     hot, hot_n = np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
     blocks = docs.mapInArrow(_deal(hot, parts, deal_tokens), BLOB).unionByName(words.mapInArrow(_words_of(hot, parts), BLOB))
     counted = blocks.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_count(unigram, hot, hot_n, parts, parts), BLOB)
-    table = cut(counted.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_gather(unigram), TABLE), "katz-tables", partition_by="kind")
+    table = cut(counted.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_gather(unigram), TABLE), "katz-tables")
     drop_shuffles(spark)
     by_count = sum((_unpack(r["blob"])["r"] for r in table.where("kind = 4").select("blob").toLocalIterator()), np.zeros(CUT + 2, np.int64))
     star2 = discounts(by_count.tolist())
@@ -601,7 +622,7 @@ def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
         def done(b: dict, value) -> pa.RecordBatch:
-            floor = b["base"] - b["size"] * np.log10(total + distinct + 1)
+            floor = b["base"] / UNIT - b["size"] * np.log10(total + distinct + 1)
             columns = [pa.array(b["ids"], mask=b["null"].astype(bool)), pa.array(~b["train"].astype(bool)), pa.array(b["size"]), pa.array(b["known"]), pa.array(floor), pa.array(value)]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -613,7 +634,7 @@ def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
                     if now:
                         yield done(now, value)
                     now = b
-                    value = b["part"] - start + sum(b[f"n{r}"] * np.log10(star2[r]) for r in range(1, CUT + 1))
+                    value = b["part"] / UNIT - start + sum(b[f"n{r}"] * np.log10(star2[r]) for r in range(1, CUT + 1))
                 else:
                     value[b["doc"]] += b["more"]
         if now:
