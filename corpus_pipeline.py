@@ -3,10 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next one's docs. All but the last keep the columns of ``documents``; columns a stage does not
 use, nulls, empty texts, repeated rows and repeated ids pass through as rows of their own, and empty
-input gives empty output. Rows are told apart by a row number of the stage's own, not by doc_id.
+input gives empty output. Rows are told apart by a row number of the stage's own, not by doc_id; where
+a draw depends on a row, it depends on the row's content.
 
 1. ``language_id`` labels every text; texts without a letter (``und``) go, the label becomes ``lang``.
-2. ``near_dedup`` keeps one document of each SimHash group, the first by doc_id among those with one.
+2. ``near_dedup`` keeps one document of each SimHash group, the first by doc_id among those with one. The
+   rule is that of operator 10: fingerprints of three-word shingles, at most two differing bits. Copies
+   with more edits than that stay; five-word shingles at a similarity of 0.8 would differ by about ten bits.
 3. ``pii`` replaces personal data by its kind in angle brackets and brings ``n_chars`` up to date.
 4. ``mixing`` repeats or leaves out documents so that sources come near their target weights.
 5. ``packing`` packs the tokens of what is left; it returns pieces with their sequence and offset.
@@ -22,7 +25,7 @@ from gneiss.llm.common import cut, keyed, read
 
 #: Rounding in stage 4 and the tokenizer in stage 5 are beyond SQL.
 ORACLE_SQL = None
-ROW = "__row"
+ROW, KEY = "__row", "__key"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +49,13 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs, "mix-rows", ROW)
-    copies = mixing.mix(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "copies").where("copies > 0")
-    return rows.join(copies, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    rows = keyed(docs.withColumn(KEY, content), "mix-rows", ROW)
+    copies = mixing.mix(rows, id_col=KEY).groupBy(F.col("doc_id").alias(KEY)).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    # equal rows are interchangeable: the first stands for all of them
+    first = rows.groupBy(KEY).agg(F.min(ROW).alias(ROW)).join(copies, KEY).select(ROW, "copies")
+    turn, number = mixing.copies_of(F.col("copies"))
+    return rows.join(first, ROW).withColumn("_turn", turn).withColumn("_number", number).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
