@@ -45,8 +45,8 @@ CUT, DELTA = 5, 0.5
 #: Keys that no word's hash is meant to take: the end token and the context before the first token.
 END, START = 1, 2
 CONTEXT_BITS = 48
-#: Sums of logarithms of a document travel as whole multiples of 2 ** -28.
-FIXED, UNIT = ("base", "part"), 1 << 28
+#: Sums of logarithms of a document travel as whole multiples of 2 ** -28, a context's mass as such of 2 ** -44.
+FIXED, UNIT, MASS_UNIT = ("base", "part", "mass"), 1 << 28, 1 << 44
 BLOB = "p int, kind int, chunk long, blob binary"
 #: Blocks, and as rows of their own the bigrams (kind 7).
 TABLE = BLOB + ", context long, word long, n long"
@@ -237,14 +237,15 @@ def _deal(hot, parts: int, tokens_at_once: int):
             h1 = np.empty_like(h2)
             h1[1:] = _short(h2[:-1])
             h1[np.cumsum(size) - size] = START
-            doc = np.repeat(np.arange(len(size)), size).astype(np.uint32)
-            place = _place(h2, h1, hot, parts)
+            doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+            place = _place(h2, h1, hot, parts).astype(np.int32)
             # contexts of each partition once, and every token's place among them
             order = np.lexsort((h1, place))
             first = _firsts(place[order], h1[order])
             before, before_at = h1[order[first]], np.searchsorted(place[order[first]], np.arange(parts + 1))
-            which = np.empty(len(h2), np.int64)
-            which[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h2)]))
+            which = np.empty(len(h2), np.int32)
+            which[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(h2)]))
+            del h1, order
             order = np.lexsort((h2, place))
             first = _firsts(place[order], h2[order])
             words, count = h2[order[first]], np.diff(np.r_[first, len(h2)]).astype(np.uint32)
@@ -405,7 +406,7 @@ def _count(unigram, hot, hot_n, parts: int, back: int):
             at = np.flatnonzero(g_hot)
             if len(at) or e_hot.any():
                 h, values = _grouped(g_1[at], _sums(g_n[at], g_u[at]))
-                stats = {k: v if k == "mass" else _small(v) for k, v in zip(STATS, values, strict=True)}
+                stats = {k: np.rint(v * MASS_UNIT).astype(np.int64) if k == "mass" else _small(v) for k, v in zip(STATS, values, strict=True)}
                 out.append((p % back, 3, 0, _pack(h=h, **stats, **tokens_of(np.flatnonzero(e_hot)))))
                 out.append((p % back, 2, 0, _pack(**bigrams_of(at))))
             g_at, e_at = np.flatnonzero(~g_hot), np.flatnonzero(~e_hot)
@@ -481,7 +482,9 @@ def _gather(unigram):
                 real = (h[at] == e) if len(h) else np.zeros(len(e), bool)  # a context without counts backs off with weight one
                 chunk, doc = (np.concatenate(x)[real] for x in ([b["chunks"][b["chunk"]] for b in parts], [b["doc"] for b in parts]))
                 used, which = np.unique(at[real], return_inverse=True)
-                out.append((q, 1, 0, _pack(**{k: v[used] for k, v in zip(STATS, values, strict=True)}, which=which.astype(np.uint32), chunk=chunk, doc=doc.astype(np.uint32))))
+                order = np.lexsort((doc, chunk, which))
+                stats = {k: np.rint(v[used] * MASS_UNIT).astype(np.int64) if k == "mass" else _small(v[used]) for k, v in zip(STATS, values, strict=True)}
+                out.append((q, 1, 0, _pack(**stats, times=np.bincount(which, minlength=len(used)).astype(np.uint32), names=np.unique(chunk), chunk=np.unique(chunk, return_inverse=True)[1][order].astype(np.uint32), doc=doc[order].astype(np.uint32))))
             for i in range(0, len(out), 16):
                 yield block_rows(out[i : i + 16])
 
@@ -556,7 +559,7 @@ def score(docs: DataFrame, **options) -> DataFrame:
     return _score(docs, **options)[0]
 
 
-def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_400_000, deal_tokens: int = 1_500_000):
+def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_400_000, deal_tokens: int = 1_700_000):
     """Scores, and a function that gives the model's tables."""
     import numpy as np
 
@@ -590,7 +593,7 @@ def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         for batch in batches:
             for blob in batch.column(0):
                 b = _unpack(blob.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(b["h"].view(np.int64)), *[pa.array(b[k].astype(np.float64)) for k in STATS]], ["h", *STATS])
+                yield pa.RecordBatch.from_arrays([pa.array(b["h"].view(np.int64)), *[pa.array(b[k] / (MASS_UNIT if k == "mass" else 1.0)) for k in STATS]], ["h", *STATS])
 
     hot_stats = table.where("kind = 3").select("blob").mapInArrow(hot_rows, "h long, " + ", ".join(f"{k} double" for k in STATS)).groupBy("h").agg(*[F.sum(k).alias(k) for k in STATS]).toPandas().sort_values("h")
     hot_h = hot_stats["h"].to_numpy(np.int64)
@@ -601,7 +604,8 @@ def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 b = _unpack(blob.as_py())
                 if kind == 1:
-                    chunk, value = b["chunk"], backoff(b, star2)[b["which"]]
+                    stats = {k: b[k] / MASS_UNIT if k == "mass" else b[k].astype(np.int64) for k in STATS}
+                    chunk, value = b["names"][b["chunk"]], np.repeat(backoff(stats, star2), b["times"])
                 else:
                     e = np.repeat(b["e"], b["times"]).view(np.int64)
                     at = np.minimum(np.searchsorted(hot_h, e), max(0, len(hot_h) - 1))
