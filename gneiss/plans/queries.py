@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.terms import normalize
 from ..operators import chunking, context, evaluation, fusion, layout, lexical, report
-from ..operators.dense import knn, knn_blocks
+from ..operators.dense import knn, knn_blocks, ranks_of
 from ..sources.readers import benchmark_queries, document_chunks, stored_vectors, table
 from ..sources.sinks import upserted
 from .models import scorer
-from .retrieval import BENCHMARK, PRODUCTION
+from .retrieval import BENCHMARK, PRODUCTION, benchmark_run, diversified, hybrid
 
 #: A small glossary for the terminology query.
 GLOSSARY = (("the", ["definite article"]), ("and the", ["conjunction", "definite article"]), ("für", ["preposition"]), ("of", ["genitive", "preposition"]))
@@ -39,7 +39,7 @@ def bm25_corpus_stats(spark, d):
 
 def bm25_idf(spark, d):
     docs = _doc_tokens(spark, d)
-    return lexical.idf(lexical.postings(docs), lexical.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf(docs, lexical.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _lexical(spark, d, n=20):
@@ -85,12 +85,7 @@ def dense_label_precision(spark, d):
 
 
 def _pool(spark, d, p=BENCHMARK):
-    chunks, quality = document_chunks(spark, d), None
-    if p.penalize:
-        chunks = chunks.withColumn("penalty", T.reference_penalty(T.chunk_role(F.col("text"))))
-        quality = chunks.select("chunk_id", "penalty")
-    lex = lexical.top_lexical(chunks, benchmark_queries(spark, d), p.lexical_n, penalty=p.penalize)
-    return fusion.rrf(_dense(spark, d, p.dense_n), lex, p.k, p.dense_weight, p.lexical_weight, quality, p.pool)
+    return hybrid(document_chunks(spark, d), benchmark_queries(spark, d), stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d), p)
 
 
 def rrf_pool30(spark, d):
@@ -152,7 +147,7 @@ def paired_win_tie_loss(spark, d):
 def _trace(spark, d):
     full = lexical.ranks_of(document_chunks(spark, d), benchmark_queries(spark, d), _gold(spark, d))
     gold = _gold(spark, d)
-    dense = knn_blocks(stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d), 1 << 30, skip_self=True).join(gold, ["query_id", "chunk_id"], "left_semi")
+    dense = ranks_of(stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d), gold, skip_self=True)
     return evaluation.gold_trace(gold, dense, full, _pool(spark, d))
 
 
@@ -169,8 +164,7 @@ def dedupe_first_wins(spark, d):
 
 
 def duplicate_text_groups(spark, d):
-    groups = document_chunks(spark, d).groupBy(T.compare_key(F.col("text")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-    return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
+    return report.duplicate_texts(document_chunks(spark, d).withColumn("text", F.translate("text", "-", " ")))
 
 
 def _chunk_table(spark, d):
@@ -275,9 +269,7 @@ def minmax_relevance(spark, d):
 
 
 def mmr_top6(spark, d):
-    v = stored_vectors(spark, d).select("chunk_id", "vec")
-    pool = _pool(spark, d, PRODUCTION).join(document_chunks(spark, d).select("chunk_id", "document_id"), "chunk_id").join(v.select("chunk_id"), "chunk_id", "left_semi")
-    return fusion.mmr(fusion.relevance(pool, v, _query_vectors(spark, d)))
+    return diversified(document_chunks(spark, d), benchmark_queries(spark, d), stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d))
 
 
 def probability_rank(spark, d):
