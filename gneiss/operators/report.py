@@ -88,6 +88,25 @@ def word_gap(source: DataFrame, chunks: DataFrame, most: int = 100) -> DataFrame
     return lost.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
+def selected_counts(picks: DataFrame) -> DataFrame:
+    """How many picks of a query each document has, and how many documents a query's picks come from."""
+    per = picks.groupBy("query_id", "document_id").agg(F.count("*").alias("picks"))
+    return per.join(per.groupBy("query_id").agg(F.count("*").alias("documents")), "query_id")
+
+
+def suspicious_headings(lines: DataFrame) -> DataFrame:
+    """``lines(document, page, line, heading)`` whose heading is numbered yet ends like prose, or is very long: (document,
+    page, heading, reason)."""
+    title = F.col("heading.text")
+    reason = F.when(F.length(title) > 120, "long_heading").when(title.rlike(r"[.,;]$"), "ends_like_prose").when(title.rlike(r"(?U)\b\d{4}\b"), "holds_a_year")
+    return lines.where("heading is not null").select("document", "page", title.alias("heading"), reason.alias("reason")).where("reason is not null")
+
+
+def format_score(score, digits: int = 4):
+    """A score as text with a fixed number of digits; a dash for none."""
+    return F.coalesce(F.format_string(f"%.{digits}f", score.cast("double")), F.lit("–"))
+
+
 def top_values(df: DataFrame, by: str, value: str, order: str, k: int = 5) -> DataFrame:
     """Most common values of a group; ties go to the one seen first."""
     counts = df.groupBy(by, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))

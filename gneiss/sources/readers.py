@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.evidence import ORGANIZATIONS
-from ..functions.text import as_list, filename_key, pick
+from ..functions.text import as_list, compare_key, filename_key, pick
 
 #: Metadata fields an index keeps.
 METADATA = ("document_id", "title", "organization", "year", "domain", "condition", "population", "section", "subsection", "page", "source_type")
@@ -24,21 +25,27 @@ def metadata_struct(meta: Column) -> Column:
     return F.struct(*[F.coalesce(meta[f].cast("string"), F.lit("")).alias(f) for f in METADATA])
 
 
-def chunk_corpus(spark: SparkSession, path: str, strip_ids: bool = True) -> DataFrame:
-    """chunk_id, text, metadata, corpus_pos from JSON files that hold ``{"chunks": [...]}`` or a list. Files in name
-    order; rows without id or text go; of an id the first wins."""
+def listed_chunks(spark: SparkSession, path: str, strip_ids: bool = True) -> DataFrame:
+    """file, pos, chunk_id, text, metadata from JSON files that hold ``{"chunks": [...]}`` or a list; rows without id or
+    text go."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("file").endswith("_quality_report.json"))
     listed = F.from_json("value", CHUNKS)
     inner = F.from_json("value", f"struct<chunks: {CHUNKS}>")["chunks"]
     chunks = raw.select("file", F.posexplode(F.when(F.col("value").rlike(r"^\s*\["), listed).otherwise(inner)).alias("pos", "c")).select("file", "pos", (F.trim("c.chunk_id") if strip_ids else F.col("c.chunk_id")).alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.metadata").alias("metadata"))
-    kept = chunks.where((F.coalesce("chunk_id", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
+    return chunks.where((F.coalesce("chunk_id", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
+
+
+def chunk_corpus(spark: SparkSession, path: str, strip_ids: bool = True) -> DataFrame:
+    """chunk_id, text, metadata, corpus_pos of ``listed_chunks``; files in name order, of an id the first wins."""
+    kept = listed_chunks(spark, path, strip_ids)
     first = kept.groupBy("chunk_id").agg(F.min(F.struct("file", "pos", "text", "metadata")).alias("c"))
     return first.select("chunk_id", "c.text", "c.metadata", F.struct("c.file", "c.pos").alias("corpus_pos"))
 
 
 def corpus_counts(spark: SparkSession, path: str) -> DataFrame:
-    """One row: unique chunks; a path without files raises in the reader."""
-    return chunk_corpus(spark, path, strip_ids=False).agg(F.count("*").alias("chunks"))
+    """One row: unique chunks and skipped repeats of their ids; a path without files raises in the reader."""
+    kept = listed_chunks(spark, path, strip_ids=False)
+    return kept.agg(F.countDistinct("chunk_id").alias("chunks"), (F.count("*") - F.countDistinct("chunk_id")).alias("skipped_duplicates"))
 
 
 PAGES = "document string, pages array<struct<page: int, text: string, tables: array<struct<table_index: int, rows: array<array<string>>>>, images: array<struct<image_index: int, xref: int>>>>"
@@ -85,50 +92,77 @@ def extracted_counts(documents: DataFrame) -> DataFrame:
     return documents.select("document", F.size("pages").alias("page_count"), count("tables").alias("table_count"), count("images").alias("image_count"))
 
 
-def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, str]]]) -> DataFrame:
-    """document, page, text of PDF files through ``parse`` (bytes to numbered page texts), since the image has no PDF
-    library. A file that ``parse`` rejects gives one row with a null page and the reason as text."""
+PARSED = "document string, page int, text string, width double, height double, blocks array<struct<text: string, bbox: array<double>, spans: array<struct<size: double, bold: boolean>>>>, tables array<struct<bbox: array<double>, rows: array<array<string>>>>, images int, reason string"
+
+
+def _parsed_rows(name: str, parse: Callable[[bytes], list[dict]], content: bytes) -> list[tuple]:
+    """Rows of ``PARSED`` for one file; what ``parse`` rejects is one row with a reason."""
+    try:
+        pages = [{"page": p[0], "text": p[1]} if isinstance(p, tuple) else p for p in parse(content)]
+        return [(name, p.get("page"), p.get("text"), p.get("width"), p.get("height"), p.get("blocks") or [], p.get("tables") or [], p.get("images") or 0, None) for p in pages]
+    except Exception as e:  # noqa: BLE001  the reason is the result
+        return [(name, None, None, None, None, [], [], 0, f"{type(e).__name__}: {e}")]
+
+
+def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list]) -> DataFrame:
+    """Pages of PDF files through ``parse``, since the image has no PDF library: bytes to a list of (page, text) or of
+    dicts with page, text, width, height, blocks, tables and the number of images. Columns are those of ``PARSED``."""
+    return _parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path), lambda name: parse)
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
 
+def _parse_files(files: DataFrame, parser_of: Callable[[str], Callable | None]) -> DataFrame:
+    def members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+        import io
+        import zipfile
+
+        if not name.lower().endswith(".zip"):
+            yield name, content
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for inner in sorted(z.namelist()):
+                yield inner, z.read(inner)
+
+    def json_pages(content: bytes) -> list[dict]:
+        d = json.loads(content)
+        if not isinstance(d.get("pages"), list):
+            raise ValueError("no list of pages")
+        return [p | {"tables": [{"bbox": t.get("bbox"), "rows": t.get("rows")} for t in p.get("tables") or []], "images": len(p.get("images") or []), "blocks": [{"text": b.get("text"), "bbox": b.get("bbox"), "spans": [{"size": s.get("size"), "bold": s.get("bold")} for s in b.get("spans") or []]} for b in p.get("blocks") or []]} for p in d["pages"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows += [(name, n, text) for n, text in parse(bytes(content))]
-                except Exception as e:  # noqa: BLE001  the reason is the result
-                    rows.append((name, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["document", "page", "text"]).astype({"page": "Int32"})
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for name, data in members(path, content.as_py()):
+                    parse = json_pages if name.lower().endswith(".json") else parser_of(name)
+                    if parse:
+                        rows = _parsed_rows(name.rsplit("/", 1)[-1], parse, data)
+                        yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema=TYPES)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "document string, page int, text string")
+    return files.select("path", "content").mapInArrow(run, PARSED)
 
 
-def documents_from(spark: SparkSession, path: str, parse_pdf: Callable | None = None) -> DataFrame:
-    """document, page, text by kind of path: .json, .zip (its .json members), .pdf (with a parser); else ValueError."""
-    kind = path.rsplit(".", 1)[-1].lower()
-    if kind == "pdf" and parse_pdf:
-        return pdf_pages(spark, path, parse_pdf)
-    if kind == "json" or "." not in path.rsplit("/", 1)[-1]:
-        return pages_of(extracted(spark, path)[0])
-    if kind == "zip":
+NAMES = [c.split()[0] for c in ("document", "page", "text", "width", "height", "blocks", "tables", "images", "reason")]
+_BOX = pa.list_(pa.float64())
+TYPES = pa.schema({
+    "document": pa.string(), "page": pa.int32(), "text": pa.string(), "width": pa.float64(), "height": pa.float64(),
+    "blocks": pa.list_(pa.struct({"text": pa.string(), "bbox": _BOX, "spans": pa.list_(pa.struct({"size": pa.float64(), "bold": pa.bool_()}))})),
+    "tables": pa.list_(pa.struct({"bbox": _BOX, "rows": pa.list_(pa.list_(pa.string()))})), "images": pa.int32(), "reason": pa.string(),
+})
 
-        def members(batches: Iterator) -> Iterator:
-            import io
-            import zipfile
 
-            import pandas as pd
+def documents_from(spark: SparkSession, path: str, parse_pdf: Callable | None = None) -> DataFrame:
+    """Pages (``PARSED``) of a file or folder, by kind of file: .json, .pdf (with a parser) and .zip with members of
+    either kind; folders are read at any depth and may be mixed. Another single file raises ValueError."""
+    name = path.rsplit("/", 1)[-1]
+    kind = name.rsplit(".", 1)[-1].lower() if "." in name else None
+    if kind not in (None, "json", "zip") and not (kind == "pdf" and parse_pdf):
+        raise ValueError(f"no reader for {path}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return _parse_files(files.where(F.lower("path").rlike(r"\.(json|pdf|zip)$")), lambda n: parse_pdf if n.lower().endswith(".pdf") else None)
 
-            for batch in batches:
-                for content in batch["content"]:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in sorted(n for n in z.namelist() if n.endswith(".json")):
-                            d = json.loads(z.read(name))
-                            if isinstance(d.get("pages"), list):
-                                yield pd.DataFrame([(d.get("document", name), p.get("page"), p.get("text")) for p in d["pages"]], columns=["document", "page", "text"])
 
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "document string, page int, text string")
-    raise ValueError(f"no reader for {path}")
+def parsed_totals(pages: DataFrame) -> DataFrame:
+    """Per document: pages, tables, images, characters; and the reason where it was rejected."""
+    return pages.groupBy("document").agg(F.count("page").alias("page_count"), F.sum(F.size("tables")).alias("table_count"), F.sum("images").alias("image_count"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.max("reason").alias("reason"))
 
 
 def glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -157,7 +191,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.trim("file") != "").select(filename_key(F.col("file")).alias("key"), known.alias("doc_family"), F.coalesce(own, F.try_element_at(usual, family)).alias("organization"), year.alias("year"), "pos")
 
 
-def benchmark(spark: SparkSession, path: str, expected: int | None = None) -> tuple[DataFrame, DataFrame]:
+def benchmark(spark: SparkSession, path: str, expected: int | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(questions, gold) from a JSON list or ``{"questions": [...]}``: alternative field names, gold as a list or
     delimited text, ids ``Q1``... by default. Empty questions, repeated ids and an unexpected count raise."""
     item = "struct<id: string, question_id: string, category: string, question: string, query: string, answer: string, source: string, gold_chunk_ids: string, gold_chunk_id: string, relevant_ids: string>"
@@ -166,10 +200,12 @@ def benchmark(spark: SparkSession, path: str, expected: int | None = None) -> tu
     q = text.select(F.posexplode(rows).alias("pos", "q")).select("pos", "q.*")
     raw = pick(F.col("gold_chunk_ids"), F.col("relevant_ids"), F.col("gold_chunk_id"))
     parsed = F.coalesce(F.transform(F.from_json(raw, "array<string>"), lambda x: F.trim(x)), as_list(raw))
-    q = q.select(F.coalesce(pick(F.col("id"), F.col("question_id")), F.concat(F.lit("Q"), F.col("pos") + 1)).alias("query_id"), "category", pick(F.col("question"), F.col("query")).alias("query"), "answer", "source", F.filter(parsed, lambda x: x != "").alias("gold_chunk_ids"))
+    q = q.select("pos", F.coalesce(pick(F.col("id"), F.col("question_id")), F.concat(F.lit("Q"), F.col("pos") + 1)).alias("query_id"), "category", pick(F.col("question"), F.col("query")).alias("query"), "answer", "source", F.filter(parsed, lambda x: x != "").alias("gold_chunk_ids"))
     n, ids, blank = q.agg(F.count("*"), F.countDistinct("query_id"), F.count_if(F.col("query").isNull())).first()
     if blank or ids != n or expected not in (None, n):
         raise ValueError(f"benchmark has {n} questions, {ids} ids, {blank} empty questions")
+    q = q if limit is None else q.where(F.col("pos") < limit)
+    q = q.drop("pos")
     return q, q.select("query_id", F.explode("gold_chunk_ids").alias("chunk_id"))
 
 
@@ -187,6 +223,14 @@ def prior_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("n", F.row_number().over(w))
 
 
+def prior_files(spark: SparkSession, path: str) -> DataFrame:
+    """Prior ids of earlier chunk files under ``path`` (any depth), in file and list order: key of the text, id, order.
+    Ids that a file repeats count once, at their first place."""
+    found = listed_chunks(spark, path)
+    first = found.groupBy("chunk_id").agg(F.min(F.struct("file", "pos", "text")).alias("c"))
+    return first.select(compare_key(F.col("c.text")).alias("key"), F.col("chunk_id").alias("legacy_chunk_id"), F.struct("c.file", "c.pos").alias("prior_pos"))
+
+
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     """chunk_id, vec, norm of a vector table."""
     v = spark.read.parquet(path).select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.sinks import upsert
+from ..sources.sinks import append_log, upsert
 
 
 def upsert_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str):
-    """Upsert JSON-lines chunk files that arrive in ``source`` into the Parquet table ``target``; of an id
-    that a batch repeats, the last row by file wins. Returns the started query (available-now trigger)."""
+    """Upsert JSON-lines chunk files that arrive in ``source`` into the versioned table ``target`` (``sinks.publish``: a
+    batch that fails leaves the version before); of an id that a batch repeats, the last row by file wins. Each batch
+    appends its number and rows to ``target``'s progress log. Returns the started query (available-now trigger)."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
+            append_log(df.agg(F.lit(number).alias("batch"), F.count("*").alias("rows")), f"{target}_progress")
             upsert(df.groupBy("chunk_id").agg(F.max_by(F.struct(*df.columns), "arrived").alias("r")).select("r.*").drop("arrived"), target)
 
     stream = spark.readStream.schema(schema).json(source).withColumn("arrived", F.col("_metadata.file_modification_time"))
