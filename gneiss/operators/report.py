@@ -61,9 +61,9 @@ def first_by_text(chunks: DataFrame, order: str = "corpus_pos") -> DataFrame:
 
 def collapse(chunks: DataFrame, keys: list[str], order: str, location: str) -> DataFrame:
     """First chunk of each key, duplicate_count and later locations in order."""
-    item = F.struct(order, location)
+    item = F.struct(F.col(order).alias("_order"), F.col(location).alias("_place"))
     packed = chunks.groupBy(*keys).agg(F.min_by(F.struct(*chunks.columns), order).alias("c"), F.array_sort(F.collect_list(item)).alias("all"))
-    return packed.select("c.*", F.size("all").alias("duplicate_count"), F.transform(F.slice("all", 2, F.size("all")), lambda x: x[location]).alias("duplicate_locations"))
+    return packed.select("c.*", F.size("all").alias("duplicate_count"), F.transform(F.slice("all", 2, F.size("all")), lambda x: x["_place"]).alias("duplicate_locations"))
 
 
 def links(chunks: DataFrame, by: str, order: str, chunk_id: str = "chunk_id") -> DataFrame:

@@ -55,6 +55,20 @@ def rewriter(factory: Callable[[], Callable[[list[str]], list[str]]]):
     return rewrite
 
 
+def token_counter(factory: Callable[[], Callable[[list[str]], list[int]]]):
+    """UDF text -> number of tokens, for chunkers that count with a model's tokenizer instead of a quarter of the characters."""
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for texts in batches:
+            out = model(texts.fillna("").tolist())
+            if len(out) != len(texts):
+                raise ValueError("the counter returned another number of counts")
+            yield pd.Series(out, dtype="int32")
+
+    return count
+
+
 def compare(contexts: DataFrame, variants: DataFrame, generate) -> DataFrame:
     """Every context answered by every variant (a handful of rows): query_id, variant, answer."""
     if variants.limit(101).count() > 100:

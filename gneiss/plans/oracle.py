@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions import text as T
-from .queries import GLOSSARY
+# The lists are written out here, apart from those of the code, so that a wrong list shows.
+#: Words that the lexical tokenizer drops.
+STOPWORDS = "a an the and or of for in on at to from with by as is are was were be been being this that these those which what how does do did can could should would may might".split()
+#: Labels of reference lists, signals of citations, openings, last words, medication, scope.
+REFERENCE_LABELS = ("reference", "references", "bibliography", "bibliographic references", "references cited", "literature cited")
+CITATION_SIGNALS = ("doi", "pmid", "et al.", "journal", "vol.", "issue")
+LEANING_STARTS = ("this ", "these ", "those ", "such ", "therefore ", "however ", "additionally ", "furthermore ", "moreover ", "thus ", "in this population", "in these patients", "for these patients", "the latter", "the former")
+CONNECTORS = r"\b(and|or|but|because|although|while|which|that|including|such as|with|for|to|of|in|on|by|as)\s*$"
+MEDICATION_SIGNALS = ("mg", "milligram", "tablet", "kapsül", "ilaç dozu", "ilaç kullan", "şu ilacı", "medication", "drug dose")
+OUT_OF_SCOPE = (r"\bilaç\b", r"\bilac\b", r"\bilaç\s+dozu\b", r"\bilac\s+dozu\b", r"\btanı\s+koy\b")
 
 
 def _list(words) -> str:
@@ -11,7 +19,7 @@ def _list(words) -> str:
 
 
 def _tokens(column: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({column}, '')), '[a-z0-9]+'), lambda w: w not in ({_list(T.STOPWORDS)}))"
+    return f"list_filter(regexp_extract_all(lower(coalesce({column}, '')), '[a-z0-9]+'), lambda w: w not in ({_list(STOPWORDS)}))"
 
 
 DOCS = f"docs as (select doc_id as chunk_id, source, text, {_tokens('text')} as tokens, len(tokens) as dl from documents)"
@@ -50,11 +58,11 @@ def _count(c: str) -> str:
     return f"(length(t) - length(replace(t, '{c}', '')))"
 
 
-_LEANING = " or ".join(f"starts_with(lower(t), '{x}')" for x in T.LEANING_STARTS)
+_LEANING = " or ".join(f"starts_with(lower(t), '{x}')" for x in LEANING_STARTS)
 CHUNKS = (
     f"sq as (select doc_id as chunk_id, source as document, lang, text, {SQUEEZED} as t, {TOKENS} as estimated_tokens from documents), "
     "issues as (select *, case when t = '' then 1 else (regexp_matches(t, '^[\\p{Ll},;:)\\]]'))::int + (regexp_matches(t, '[,;:]$'))::int + "
-    f"(regexp_matches(lower(t), '{T.CONNECTORS}'))::int + ({_LEANING})::int + ({_count('(')} != {_count(')')} or {_count('[')} != {_count(']')})::int end as n_issues from sq), "
+    f"(regexp_matches(lower(t), '{CONNECTORS}'))::int + ({_LEANING})::int + ({_count('(')} != {_count(')')} or {_count('[')} != {_count(']')})::int end as n_issues from sq), "
     "ch as (select *, case when t = '' then 0 else greatest(0, round_even(1.0 - 0.22 * n_issues, 2)) end::double as score, case when t = '' then 'incomplete' when n_issues <= 1 then 'complete' when n_issues = 2 then 'warning' else 'incomplete' end as completeness from issues)"
 )
 _FLAGS = (
@@ -67,12 +75,11 @@ _CITED = r"regexp_extract_all(answer, '(?i)\[SOURCE\s+\d+(?:\s*,\s*\d+)*\s*\]')"
 REPORT = "rep as (select document, count(*) as chunk_count, count(*) as text_chunk_count, round_even(avg(length(text)), 1) as average_characters, min(length(text)) as min_characters, max(length(text)) as max_characters, round_even(median(estimated_tokens), 1) as median_estimated_tokens, round_even(100.0::double * count(*) filter (coalesce(lang, '') != '') / count(*), 1) as section_coverage_percent, count(*) filter (estimated_tokens < 150 or completeness != 'complete') as orphan_candidates, count(*) filter (length(text) < 300) as short_chunks, count(*) filter (length(text) > 4050) as long_chunks from ch group by 1)"
 TRACE = "trace as (select g.query_id, g.chunk_id, d.rank as dense_rank, l.rank as bm25_rank, p.rrf_rank, coalesce(p.rrf_rank <= 30, false) as in_pool from gold g left join densefull d using (query_id, chunk_id) left join lexfull l using (query_id, chunk_id) left join pool p using (query_id, chunk_id))"
 _ROLE = r"case when regexp_matches(text, '(?im)^\s*references\s*$') or ((len(regexp_extract_all(text, '(?i)\bdoi\s*:\s*10\.\d{4,9}/')) + len(regexp_extract_all(text, '(?i)\bhttps?://doi\.org/')) + len(regexp_extract_all(text, '(?i)\bpmid\s*[:.]?\s*\d+'))) >= 1 and len(regexp_extract_all(text, '\b(?:19|20)\d{2}\b')) >= 1) then 'reference' else 'clinical' end"
-_REFERENCE = f"(t = '' or (({' or '.join(f'''starts_with(lower(t), '{x}')''' for x in T.REFERENCE_LABELS)}) and ({' or '.join(f'''contains(lower(t), '{x}')''' for x in T.CITATION_SIGNALS)})))"
+_REFERENCE = f"(t = '' or (({' or '.join(f'''starts_with(lower(t), '{x}')''' for x in REFERENCE_LABELS)}) and ({' or '.join(f'''contains(lower(t), '{x}')''' for x in CITATION_SIGNALS)})))"
 
 _LOW = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
-_SCOPE = " or ".join(f"regexp_matches({_LOW}, '(^|[^\\p{{L}}\\p{{N}}_]){x[2:-2]}($|[^\\p{{L}}\\p{{N}}_])')" for x in T.OUT_OF_SCOPE)
-_MEDICATION = " or ".join(f"contains(lower(coalesce(text, '')), '{x}')" for x in T.MEDICATION_SIGNALS)
-_TERMS = ", ".join(f"('{term}', {i})" for i, (term, _) in enumerate(GLOSSARY))
+_SCOPE = " or ".join(f"regexp_matches({_LOW}, '(^|[^\\p{{L}}\\p{{N}}_]){x[2:-2]}($|[^\\p{{L}}\\p{{N}}_])')" for x in OUT_OF_SCOPE)
+_MEDICATION = " or ".join(f"contains(lower(coalesce(text, '')), '{x}')" for x in MEDICATION_SIGNALS)
 _LINE = r"replace(replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
 EDGES = (
     rf"ln as (select source as document, doc_id as page, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: {_LINE}), lambda x: x != '') as lines from documents), "
@@ -127,7 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "gold_trace": f"with {BASE}, {TRACE} select * from trace",
         "gold_diagnosis": f"with {BASE}, {TRACE} select case when dense_rank is null and bm25_rank is null then 'not_indexed' when coalesce(dense_rank, 1000000000) > 40 and coalesce(bm25_rank, 1000000000) > 20 then 'outside_both' when rrf_rank is null then 'not_fused' when not in_pool then 'outside_pool' else 'in_pool' end as verdict, count(*) as n from trace group by 1",
         "dedupe_first_wins": f"select min(doc_id) as chunk_id, count(*) as duplicate_count from documents group by {KEY}",
-        "duplicate_text_groups": f"select count(*) as groups, coalesce(sum(n - 1), 0) as surplus from (select count(*) as n from documents group by {KEY}) where n > 1",
+        "duplicate_text_groups": f"select count(*) as groups, coalesce(sum(n - 1), 0) as surplus from (select count(*) as n from documents group by trim(regexp_replace(lower(translate(text, '-', ' ')), '[^\\p{{L}}\\p{{N}}_\\p{{M}}]+', ' ', 'g'))) where n > 1",
         "chunk_quality_report": f"with {CHUNKS}, {REPORT} select * from rep",
         "corpus_quality_totals": f"with {CHUNKS}, {REPORT} select count(*) as documents, sum(chunk_count) as chunk_count, sum(orphan_candidates) as orphan_candidates, sum(short_chunks) as short_chunks, sum(long_chunks) as long_chunks, round_even(sum(short_chunks) / sum(text_chunk_count), 4) as short_ratio from rep",
         "short_chunk_thresholds": f"with {CHUNKS} select document, count(*) as chunks, round_even(avg(estimated_tokens), 2) as mean_tokens, min(estimated_tokens) as min_tokens, max(estimated_tokens) as max_tokens, {', '.join(f'count(*) filter (estimated_tokens < {n}) as under_{n}' for n in (10, 20, 30, 50))} from ch group by 1",
@@ -137,7 +144,6 @@ def oracle_sql() -> dict[str, str]:
         "chunk_role": f"select {_ROLE} as role, count(*) as n from documents group by 1",
         "reference_only_filter": f"with {CHUNKS} select chunk_id, {_REFERENCE} as reference_only from ch",
         "token_estimate_bins": f"select (t // 100) * 100 as bin, count(*) as n, sum(t) as tokens from (select {TOKENS} as t from documents) group by 1",
-        "section_carry_forward": "with l as (select doc_id as chunk_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents) select chunk_id, pos, last_value(case when length(line) between 1 and 29 then line end ignore nulls) over (partition by chunk_id order by pos rows between unbounded preceding and current row) as section from l",
         "prev_next_links": "select doc_id as chunk_id, lag(doc_id) over w as prev_chunk_id, lead(doc_id) over w as next_chunk_id from documents window w as (partition by source order by doc_id)",
         "stable_chunk_ids": r"select doc_id as chunk_id, substr(sha256(concat_ws('|', lower(source), '1', trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(text, '[^\x20-\x7E]', '', 'g'), '[ \t]+', ' ', 'g'))), '\W+', ' ', 'g')), 'text', '0')), 1, 24) as stable_id from documents",
         "citation_validation": rf"with t as (select conv_id, turn, coalesce(text, '') || ' [SOURCE 1] [source 2, ' || (turn % 3 + 2) || ']' as answer from conversations), c as (select conv_id, turn, {_CITED} as tags, list_sort(list_distinct(list_transform(flatten(list_transform({_CITED}, lambda x: regexp_extract_all(x, '\d+'))), lambda n: n::int))) as cited from t) select conv_id, turn, array_to_string(cited, ',') as cited, len(cited) > 0 and len(list_filter(cited, lambda x: x < 1 or x > 3)) = 0 as valid, len(tags) as tags from c",
@@ -147,10 +153,8 @@ def oracle_sql() -> dict[str, str]:
         "legacy_id_consume": "with d as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents), p as (select lang, 'old_' || doc_id as legacy_chunk_id, row_number() over (partition by lang order by doc_id) as n from documents semi join labels using (doc_id)) select doc_id, legacy_chunk_id from d left join p using (lang, n)",
         "vector_upsert": "select case when label = 3 then -3 else label end as label, count(*) as n from embeddings group by 1",
         "out_of_scope_turns": f"select conv_id, turn, {_MEDICATION} as medication, {_SCOPE} as out_of_scope from conversations",
-        "terminology_exact_match": f"with q as (select item_id as query_id, ' ' || regexp_replace(lower(translate(coalesce(text, ''), 'İI’', 'iı' || chr(39))), '[^a-zçğıöşü0-9]+', ' ', 'g') || ' ' as n from benchmark), t as (select * from (values {_TERMS}) t(term, term_pos)) select query_id, string_agg(term, ',' order by length(term) desc, term_pos) as terms from q join t on contains(n, ' ' || term || ' ') group by 1",
         "rerank_udf": f"with {BASE}, s as (select p.query_id, p.chunk_id, p.rrf_rank, {_SHARED}::double as rerank_score from pool p join documents d on d.doc_id = p.chunk_id join benchmark q on q.item_id = p.query_id), r as (select *, row_number() over (partition by query_id order by rerank_score desc, rrf_rank) as rank from s) select query_id, chunk_id, rrf_rank as pre_rerank_rank, rank, rerank_score from r where rank <= 10",
         "context_assembly": f"with {BASE}, {CHUNKS}, j as (select p.query_id, lower(t) as key, {_REFERENCE} as reference from pool p join ch using (chunk_id) where rrf_rank <= 6) select query_id, least(3, count(distinct key) filter (not reference)) as source_count, count(*) as input_count, count(*) filter (reference) as reference_filtered_count, count(*) filter (not reference) - count(distinct key) filter (not reference) as duplicate_filtered_count from j group by 1",
         "repeated_line_detection": rf"with {EDGES}, c as (select document, line, count(*) as n from en group by all) select document, line from c join pg using (document) where n_pages >= 2 and n >= greatest(3, round_even(n_pages * 0.02::double, 0)::int) and length(line) >= 12 and contains(line, ' ') and not regexp_matches(line, '^[^\p{{L}}_\p{{M}}]+$')",
         "mmr_top6": f"with {BM25}, {DENSE}, {_pool(40, 40, 1.0, 0.85, 40)}, {_mmr(6)} select query_id, selection_rank, chunk_id, document_id, mmr_score, redundancy from sel6",
-        "family_distribution": "select source, count(*) as documents from documents group by 1",
     }

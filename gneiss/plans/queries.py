@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.terms import normalize
 from ..operators import chunking, context, evaluation, fusion, layout, lexical, report
 from ..operators.dense import knn, knn_blocks, ranks_of
 from ..sources.readers import benchmark_queries, document_chunks, stored_vectors, table
@@ -16,10 +15,6 @@ from ..sources.sinks import upserted
 from .models import scorer
 from .retrieval import BENCHMARK, PRODUCTION, benchmark_run, diversified, hybrid
 
-#: A small glossary for the terminology query.
-GLOSSARY = (("the", ["definite article"]), ("and the", ["conjunction", "definite article"]), ("für", ["preposition"]), ("of", ["genitive", "preposition"]))
-
-
 def _doc_tokens(spark, d):
     return lexical.tokens(document_chunks(spark, d))
 
@@ -228,13 +223,6 @@ def page_line_filter(spark, d):
     return chunking.page_lines(_pages(spark, d)).groupBy("document").agg(F.count("*").alias("lines"), F.countDistinct("page").alias("pages"))
 
 
-def section_carry_forward(spark, d):
-    """The last short line (under thirty characters) seen so far in each document."""
-    w = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = document_chunks(spark, d).select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("chunk_id", "pos", F.last(F.when(F.length("line").between(1, 29), F.col("line")), True).over(w).alias("section"))
-
-
 def prev_next_links(spark, d):
     return report.links(document_chunks(spark, d), "document_id", "corpus_pos").select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
@@ -285,13 +273,6 @@ def rerank_udf(spark, d):
     return fusion.rerank(pool, score("query", "text")).select("query_id", "chunk_id", "pre_rerank_rank", "rank", "rerank_score")
 
 
-def terminology_exact_match(spark, d):
-    terms = spark.createDataFrame([(t, e, i) for i, (t, e) in enumerate(GLOSSARY)], "term string, equivalents array<string>, term_pos int")
-    q = benchmark_queries(spark, d).withColumn("n", F.concat(F.lit(" "), F.regexp_replace(normalize(F.col("query")), "[^a-zçğıöşü0-9]+", " "), F.lit(" ")))
-    hits = q.join(F.broadcast(terms), F.contains("n", F.concat(F.lit(" "), "term", F.lit(" "))))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("o"), "term_pos", "term"))), lambda x: x["term"]), ",").alias("terms"))
-
-
 def manifest_override(spark, d):
     """A made-up manifest for half of the sources, its year null for one of them."""
     manifest = spark.createDataFrame([("src1json", 0, "WHO", "World Health Organization", 2020), ("src2json", 1, "NICE", "NICE", None)], "key string, pos long, doc_family string, organization string, year int")
@@ -336,18 +317,14 @@ def layout_report(spark, d):
     return layout.layout_report(_layout(spark, d)).select("document", "chunk_count", "under_30", "under_30_excluding_atomic", "median_tokens", "orphan_chunk_count")
 
 
-def family_distribution(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         tokenize_stats, postings_df, bm25_corpus_stats, bm25_idf, bm25_top20, bm25_full_rank_gold, dense_top40, dense_expression_top10, dense_label_precision, rrf_pool30,
         rrf_production_penalty, pool_gold_ceiling, missing_gold_anti, index_symmetric_diff, metrics_hit_per_query, metrics_fraction_per_query, metrics_method_summary,
         metrics_by_source_pivot, paired_win_tie_loss, gold_trace, gold_diagnosis, dedupe_first_wins, duplicate_text_groups, chunk_quality_report, corpus_quality_totals,
         short_chunk_thresholds, orphan_reasons, semantic_completeness, text_quality_flags, chunk_role, reference_only_filter, token_estimate_bins, repeated_line_detection,
-        heading_classification, page_line_filter, section_carry_forward, prev_next_links, stable_chunk_ids, context_assembly, citation_validation, out_of_scope_turns,
-        minmax_relevance, mmr_top6, probability_rank, rerank_udf, terminology_exact_match, manifest_override, legacy_id_consume, vector_upsert, sentence_packing, page_chunks,
-        layout_chunks, layout_report, family_distribution,
+        heading_classification, page_line_filter, prev_next_links, stable_chunk_ids, context_assembly, citation_validation, out_of_scope_turns,
+        minmax_relevance, mmr_top6, probability_rank, rerank_udf, manifest_override, legacy_id_consume, vector_upsert, sentence_packing, page_chunks,
+        layout_chunks, layout_report,
     )
     return {q.__name__: q for q in every}

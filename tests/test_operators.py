@@ -21,7 +21,7 @@ def test_bm25(spark):
 
 def test_negative_idf(spark):
     docs = lexical.tokens(spark.createDataFrame([(1, 1, "x1 b"), (2, 2, "x1 c"), (3, 3, "x1 d")], "chunk_id int, corpus_pos int, text string"))
-    found = {r.term: round(r.idf, 6) for r in lexical.idf(lexical.postings(docs), lexical.corpus_stats(docs)).collect()}
+    found = {r.term: round(r.idf, 6) for r in lexical.idf(docs, lexical.corpus_stats(docs)).collect()}
     assert found["x1"] == -0.02584
 
 
