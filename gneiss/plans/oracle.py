@@ -12,6 +12,10 @@ LEANING_STARTS = ("this ", "these ", "those ", "such ", "therefore ", "however "
 CONNECTORS = r"\b(and|or|but|because|although|while|which|that|including|such as|with|for|to|of|in|on|by|as)\s*$"
 MEDICATION_SIGNALS = ("mg", "milligram", "tablet", "kapsül", "ilaç dozu", "ilaç kullan", "şu ilacı", "medication", "drug dose")
 OUT_OF_SCOPE = (r"\bilaç\b", r"\bilac\b", r"\bilaç\s+dozu\b", r"\bilac\s+dozu\b", r"\btanı\s+koy\b")
+#: Headings that many documents share, headings that hold within a page, marks of the page's own lines.
+COMMON_HEADINGS = ("abstract", "introduction", "background", "methods", "methodology", "results", "discussion", "conclusion", "recommendations", "references", "appendix", "scope", "purpose", "objectives", "assessment", "outcome measures", "safety", "limitations", "patient population", "target population", "risk factors", "overview", "process", "definitions", "implementation", "clinical implications", "strengths and limitations", "future research", "literature searches", "best-evidence synthesis", "peer review and public commentary", "exclusions", "feasibility", "role of patient preferences", "potential benefits, risks, harms, and costs", "benefit-harm assessment", "rationale", "recommendation")
+LOCAL_HEADINGS = ("what this evidence adds", "key points", "highlights", "clinical practice guideline", "clinical practice guidelines")
+LAYOUT_MARKS = ("doi:", "http://", "https://", "www.", "copyright", "©", "isbn", "issn", "downloaded from", "all rights reserved")
 
 
 def _list(words) -> str:
@@ -89,6 +93,70 @@ EDGES = (
 _SHARED = r"len(list_intersect(list_distinct(string_split_regex(trim(q.text), '\s+')), list_distinct(string_split_regex(trim(d.text), '\s+'))))"
 
 
+def _squeezed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _cleaned(x: str) -> str:
+    return rf"replace(replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+
+
+def _is_layout(x: str) -> str:
+    low = f"lower({_squeezed(x)})"
+    return f"({low} = '' or " + " or ".join(f"contains({low}, '{m}')" for m in LAYOUT_MARKS) + ")"
+
+
+def _is_link(x: str) -> str:
+    return rf"(regexp_matches(lower({x}), '10\.\d{{4,9}}/\S+') or regexp_matches(lower({x}), '^(https?://|www\.)') or contains(lower({x}), 'doi.org/'))"
+
+
+def _joined_capitals(x: str) -> str:
+    return rf"case when regexp_matches({x}, '^(?:[A-Za-z]\s+){{3,}}[A-Za-z]$') then regexp_replace({x}, '\s+', '', 'g') else {x} end"
+
+
+_FORM = r"^(\d+(?:\.\d+){0,3})\.?\s+(.+)$"
+_CITATION = (
+    r"(contains(lower(title), 'et al') or regexp_matches(title, '\b(?:19|20)\d{2}\b') or length(title) - length(replace(title, ',', '')) >= 2 or regexp_matches(title, '\b[A-Z][a-z]+,\s+[A-Z]\.?|\b[A-Z][a-z]+\s+[A-Z][a-z]+,\s+[A-Z]') "
+    r"or regexp_matches(lower(title), '\b(?:doi|pmid|issn|isbn)\b'))"
+)
+_REJECT = (
+    r"(regexp_matches(t, '(?i)^\d+\s+(?:were|was|are|is|the|a|an|in|of|to|for|from|with|on|by|and|or|both|two|one|several|these|those|this|that)\b') or regexp_matches(t, '^\d+\s+[A-Z][^.!?]{0,25},\s*$') "
+    rf"or {_is_link('t')} or {_is_layout('t')} or {_CITATION} or regexp_matches(title, '[,;:]$') or length(title) < 3 or length(title) > 180 or regexp_matches(regexp_extract(title, '(\p{{L}})', 1), '^\p{{Ll}}') "
+    rf"or (not contains(number, '.') and words <= 2 and not common) or regexp_matches(title, '(?i)\b(?:CPG|DOI|PMID|ISSN|ISBN)\b') or regexp_matches(title, '^[A-Za-z][A-Za-z ]+\s+\d{{2,4}}$') or (words = 1 and not common))"
+)
+
+
+def _classified(lines: str) -> str:
+    """CTEs over ``lines(..., t)``: ``kinds`` with number and kind, null for no heading."""
+    return (
+        rf"form as (select *, regexp_extract(t, '{_FORM}', 1) as number, {_cleaned(f"regexp_extract(t, '{_FORM}', 2)")} as title, {_joined_capitals('t')} as compact from {lines}), "
+        rf"word as (select *, len(string_split({_squeezed('title')}, ' ')) as words, lower(title) in ({_list(COMMON_HEADINGS)}) as common, regexp_replace(lower(compact), ':+$', '') as low, regexp_replace({_joined_capitals('compact')}, '[^A-Za-z]', '', 'g') as letters from form), "
+        rf"kinds as (select *, case when t = '' or length(t) > 180 or {_is_layout('t')} or regexp_matches(t, '^\d{{1,4}}$') or {_is_link('t')} then null when regexp_matches(t, '{_FORM}') and not {_REJECT} then 'numbered' "
+        rf"when low in ({_list(LOCAL_HEADINGS)}) then 'local' when low in ({_list(COMMON_HEADINGS)}) then 'common' when length(compact) <= 140 and lower(compact) not in ({_list(LOCAL_HEADINGS)}) and length(letters) >= 5 and upper(letters) = letters and len(string_split({_squeezed('compact')}, ' ')) <= 16 then 'caps' end as kind from word)"
+    )
+
+
+HEADINGS = rf"lines as (select doc_id as chunk_id, unnest(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: {_LINE}), lambda x: x != '')) as t from documents), {_classified('lines')}"
+PACKED = (
+    r"parts as (select doc_id, text, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x != '') as ss from documents), "
+    "u as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as i from parts), "
+    "v as materialized (select doc_id, i, length(s) as l, case when length(s) > 3000 then list_filter(list_transform(range(0, ceil(length(s) / 3000.0)::bigint), lambda k: trim(s[k * 3000 + 1:(k + 1) * 3000])), lambda x: x != '') else [] end as cuts from u), "
+    "f as (select doc_id, i, 0::bigint as p, case when l > 3000 then len(cuts) else 0 end as base, case when l > 3000 then 0 else l end as cur from v where i = 1 union all "
+    "select v.doc_id, v.i, case when l > 3000 then base + (cur > 0)::int when cur = 0 or cur + 1 + l <= 3000 then base else base + 1 end, case when l > 3000 then base + (cur > 0)::int + len(cuts) when cur = 0 or cur + 1 + l <= 3000 then base else base + 1 end, case when l > 3000 then 0 when cur = 0 then l when cur + 1 + l <= 3000 then cur + 1 + l else l end from f join v on v.doc_id = f.doc_id and v.i = f.i + 1), "
+    "pieces as (select doc_id, p as piece, sum(l) + count(*) - 1 as length from f join v using (doc_id, i) where l <= 3000 group by 1, 2 union all select doc_id, p + j - 1, length(cuts[j]) from (select f.doc_id, p, cuts, unnest(range(1, len(cuts) + 1)) as j from f join v using (doc_id, i) where l > 3000) union all select doc_id, 0, length(coalesce(text, '')) from parts where len(ss) = 0)"
+)
+_SHORT = r"list_filter(ls, lambda x: len(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')) <= 2 and length(x) <= 18)"
+PAGE_LINES = (
+    rf"pg0 as (select source as document, doc_id as page, coalesce(text, '') as text, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: {_LINE}), lambda x: x != '') as ls from documents), "
+    rf"pg1 as (select document, page, case when len(ls) >= 12 and len({_SHORT}) >= 0.65::double * len(ls) and list_median(list_transform(ls, lambda x: length(x))) <= 18 then regexp_replace(regexp_replace(array_to_string(ls, ' '), '\s+([,.;:!?])', '\1', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(10) || '\2', 'g') else text end as text from pg0), "
+    r"raw0 as (select document, page, string_split_regex(text, '\r\n|\r|\n') as xs from pg1), raw1 as (select document, page, unnest(xs) as x, generate_subscripts(xs, 1) as line_no from raw0), "
+    rf"raw2 as (select document, page, line_no, {_LINE} as line from raw1), "
+    rf"raw3 as (select *, lower({_squeezed('line')}) as low from raw2 where line = '' or not ({_is_layout('line')} or regexp_matches(line, '^\d{{1,4}}$') or starts_with(lower({_squeezed('line')}), 'downloaded from'))), "
+    r"rc as (select document, line as low, count(*) as n from en group by all), often as (select document, low from rc join pg using (document) where n_pages >= 2 and n >= greatest(3, round_even(n_pages * 0.35::double, 0)::int) and length(low) >= 12 and contains(low, ' ') and not regexp_matches(low, '^[^\p{L}_\p{M}]+$')), "
+    "raw4 as (select *, lag(line) over (partition by document, page order by line_no) as before from raw3 anti join often using (document, low)), plines as (select document, page, line_no, line from raw4 where line != '' or coalesce(before, '') != '')"
+)
+
+
 def _scaled(value: str, low: str, high: str) -> str:
     return f"case when abs({high} - {low}) <= 1e-9 * greatest(abs({high}), abs({low})) then 1 else ({value} - {low}) / ({high} - {low}) end"
 
@@ -156,5 +224,8 @@ def oracle_sql() -> dict[str, str]:
         "rerank_udf": f"with {BASE}, s as (select p.query_id, p.chunk_id, p.rrf_rank, {_SHARED}::double as rerank_score from pool p join documents d on d.doc_id = p.chunk_id join benchmark q on q.item_id = p.query_id), r as (select *, row_number() over (partition by query_id order by rerank_score desc, rrf_rank) as rank from s) select query_id, chunk_id, rrf_rank as pre_rerank_rank, rank, rerank_score from r where rank <= 10",
         "context_assembly": f"with {BASE}, {CHUNKS}, j as (select p.query_id, lower(t) as key, {_REFERENCE} as reference from pool p join ch using (chunk_id) where rrf_rank <= 6) select query_id, least(3, count(distinct key) filter (not reference)) as source_count, count(*) as input_count, count(*) filter (reference) as reference_filtered_count, count(*) filter (not reference) - count(distinct key) filter (not reference) as duplicate_filtered_count from j group by 1",
         "repeated_line_detection": rf"with {EDGES}, c as (select document, line, count(*) as n from en group by all) select document, line from c join pg using (document) where n_pages >= 2 and n >= greatest(3, round_even(n_pages * 0.02::double, 0)::int) and length(line) >= 12 and contains(line, ' ') and not regexp_matches(line, '^[^\p{{L}}_\p{{M}}]+$')",
+        "heading_classification": f"with {HEADINGS} select kind, count(*) as n from kinds group by 1",
+        "sentence_packing": f"with recursive {PACKED} select doc_id as chunk_id, piece, length from pieces",
+        "page_line_filter": f"with {EDGES}, {PAGE_LINES} select document, count(*) as lines, count(distinct page) as pages from plines group by 1",
         "mmr_top6": f"with {BM25}, {DENSE}, {_pool(40, 40, 1.0, 0.85, 40)}, {_mmr(6)} select query_id, selection_rank, chunk_id, document_id, mmr_score, redundancy from sel6",
     }
