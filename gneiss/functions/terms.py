@@ -91,7 +91,7 @@ def process_queries(queries: DataFrame, terms: DataFrame, rewrite: Column | None
     return found.select("query_id", checked.alias("original_query"), F.trim(text).alias("rewritten_query"), F.array_join(unique, " ").alias("expanded_query"), "matched_terms", "added_terms")
 
 
-def glossary_lines(matched: DataFrame) -> DataFrame:
-    """One text a query: ``- term => equivalent, equivalent`` per matched term."""
+def glossary_lines(matched: DataFrame, otherwise: str = "") -> DataFrame:
+    """One text a query: ``- term => equivalent, equivalent`` per matched term; ``otherwise`` where none matched."""
     lines = F.zip_with("matched_terms", F.coalesce("equivalent_lists", F.expr("cast(array() as array<array<string>>)")), lambda t, e: F.concat(F.lit("- "), t, F.lit(" => "), F.array_join(e, ", ")))
-    return matched.select("query_id", F.array_join(lines, "\n").alias("glossary"))
+    return matched.select("query_id", F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit(otherwise)).alias("glossary"))

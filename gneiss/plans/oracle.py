@@ -161,7 +161,11 @@ PAGE_LINES = (
 )
 
 
-def _page_chunks() -> str:
+_TWO, _FOUR = "(values ('bm25'), ('rrf'))", "(values ('bm25'), ('dense'), ('rrf'), ('lexical_first'))"
+FLAT = f"fl as (select source as document, doc_id, text, {TOKENS} as n, doc_id % 6 as kind, doc_id % 6 not in (2, 3, 4) as free, {' or '.join(c for c, _ in _FLAGS)} as broken from documents)"
+
+
+def _page_chunks(least: int = 0) -> str:
     """Chunks of pages without tables; no subsection of the test tables opens the list of domains, so that list is left out."""
     judged = CHUNKS[CHUNKS.index("issues as") :]
     return (
@@ -176,7 +180,7 @@ def _page_chunks() -> str:
         r"bl as (select document, page, block, regexp_replace(string_agg(line, chr(10) order by line_no), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g') as body, arg_min(struct_pack(h := local_heading), line_no).h as local_heading from s1 group by 1, 2, 3), "
         f"given as (select struct_pack(d := document, p := page, b := block) as key, body as text from bl where length(body) > 3000), {_packed('given')}, "
         "tx as (select document, page, block, 0::bigint as piece, body as text, local_heading from bl where length(body) <= 3000 union all select key.d, key.p, key.b, piece, pieces.text, local_heading from pieces join bl on bl.document = key.d and bl.page = key.p and bl.block = key.b), "
-        f"sq as (select *, {SQUEEZED} as t, {TOKENS} as estimated_tokens, printf('%s_chunk_%04d', document, row_number() over (partition by document order by page, block, piece)) as chunk_id from tx where text != ''), {judged}"
+        f"sq as (select *, {SQUEEZED} as t, {TOKENS} as estimated_tokens, printf('%s_chunk_%04d', document, row_number() over (partition by document order by page, block, piece)) as chunk_id from tx where text != '' and length(text) >= {least}), {judged}"
     )
 
 
@@ -250,6 +254,11 @@ def oracle_sql() -> dict[str, str]:
         "heading_classification": f"with {HEADINGS} select kind, count(*) as n from kinds group by 1",
         "sentence_packing": f"with recursive given as (select doc_id as key, text from documents), {_packed('given')} select key as chunk_id, piece, length(text) as length from pieces",
         "page_chunks": f"with recursive {_page_chunks()} select document, page, chunk_id, section, local_heading, estimated_tokens, completeness from ch left join ends using (document, page)",
+        "short_page_chunks": f"with recursive {_page_chunks(300)} select document, page, chunk_id, section, estimated_tokens from ch left join ends using (document, page)",
+        "layout_statistics": f"with {FLAT} select document, count(*) as chunk_count, count(*) filter (kind = 2) as recommendation_chunks, count(*) filter (n < 30) as under_30, count(*) filter (n < 50 and free) as under_50_excluding_atomic, round_even(count(*) filter (n < 30) / count(*), 4) as under_30_ratio, round_even(median(length(text)), 2) as median_chars, round_even(avg(n), 2) as average_tokens, max(n) as max_tokens, count(*) filter (length(text) > 3000) as chunks_over_char_target, round_even(count(*) filter (kind = 2 and doc_id % 5 = 0) / nullif(count(*) filter (kind = 2), 0), 4) as recommendation_evidence_grade_filled_ratio, count(*) filter (doc_id % 4 = 0) as orphan_chunk_count, count(*) filter (kind = 2 and doc_id % 9 = 0) as recommendation_id_extracted_count, count(*) filter (broken) as broken_text_chunk_count, coalesce(array_to_string(list(doc_id order by doc_id) filter (doc_id % 4 = 0)[1:5], ','), '') as orphan_samples from fl group by 1",
+        "layout_totals": f"with {FLAT}, t as (select count(distinct document) as documents, count(*) as chunk_count, {', '.join(f'count(*) filter (kind = {i}) as {k}_chunks' for i, k in enumerate(('paragraph', 'list_item', 'recommendation', 'table', 'references', 'appendix')))}, {', '.join(f'count(*) filter (n < {k}) as under_{k}, count(*) filter (n < {k} and free) as under_{k}_excluding_atomic' for k in (10, 20, 30, 50))}, count(*) filter (length(text) > 3000) as chunks_over_char_target, count(*) filter (kind = 2 and doc_id % 7 = 0) as recommendation_evidence_quality_filled_count, count(*) filter (kind = 2 and doc_id % 8 = 0) as recommendation_strength_filled_count, count(*) filter (doc_id % 4 = 0) as orphan_chunk_count, count(*) filter (free) as n_free from fl) select * exclude (n_free), round_even(under_30 / chunk_count, 4) as under_30_ratio, round_even(under_30_excluding_atomic / n_free, 4) as under_30_excluding_atomic_ratio, round_even(orphan_chunk_count / chunk_count, 4) as orphan_chunk_ratio, round_even(recommendation_strength_filled_count / recommendation_chunks, 4) as recommendation_strength_filled_ratio from t",
+        "benchmark_methods": f"with {BASE}, ranked as (select query_id, chunk_id, rank, 'bm25' as method from lexfull where rank <= 20 union all select query_id, chunk_id, rank, 'dense' from densefull where rank <= 40 union all select query_id, chunk_id, rrf_rank, 'rrf' from pool union all select query_id, chunk_id, rank, 'lexical_first' from (select *, row_number() over (partition by query_id order by coalesce(bm25_rank, 99), rrf_rank) as rank from pool) where rank <= 10), {METRICS.replace(_TWO, _FOUR)} select query_id, method, hit_at_1, recall_at_10, round(mrr, 6) as mrr, first_rank from metrics",
+        "context_texts": f"with {BASE}, {CHUNKS}, j as (select p.query_id, rrf_rank, chunk_id, document, t, lower(t) as key, {_REFERENCE} as reference from pool p join ch using (chunk_id) where rrf_rank <= 6), k as (select * from j where not reference qualify row_number() over (partition by query_id, key order by rrf_rank) = 1), n as (select *, row_number() over (partition by query_id order by rrf_rank) as i from k) select query_id, string_agg('[SOURCE ' || i || ']' || chr(10) || 'Document: ' || document || chr(10) || 'Page: 1' || chr(10) || 'Section: belirtilmemiş' || chr(10) || t || chr(10) || '[/SOURCE ' || i || ']', chr(10) || chr(10) order by i) as context_text, string_agg(chunk_id::varchar, ',' order by i) as source_ids from n where i <= 3 group by 1",
         "page_line_filter": f"with {EDGES}, {PAGE_LINES} select document, count(*) as lines, count(distinct page) as pages from plines group by 1",
         "mmr_top6": f"with {BM25}, {DENSE}, {_pool(40, 40, 1.0, 0.85, 40)}, {_mmr(6)} select query_id, selection_rank, chunk_id, document_id, mmr_score, redundancy from sel6",
     }

@@ -232,12 +232,18 @@ def stable_chunk_ids(spark, d):
     return document_chunks(spark, d).withColumn("ascii", F.regexp_replace("text", r"[^\x20-\x7E]", "")).select("chunk_id", key.alias("stable_id"))
 
 
-def context_assembly(spark, d):
-    docs = document_chunks(spark, d)
+def _assembled(spark, d):
     none = F.lit(None).cast("string")
-    rows = _pool(spark, d).where("rrf_rank <= 6").join(docs, "chunk_id").select("query_id", F.col("rrf_rank").alias("rank"), "chunk_id", "text", "document_id", F.lit(1).alias("page"), none.alias("section"), none.alias("subsection"), F.lit("text").alias("source_type"))
-    done = context.assemble(rows)
-    return done.select("query_id", "source_count", "input_count", "reference_filtered_count", "duplicate_filtered_count")
+    rows = _pool(spark, d).where("rrf_rank <= 6").join(document_chunks(spark, d), "chunk_id").select("query_id", F.col("rrf_rank").alias("rank"), "chunk_id", "text", "document_id", F.lit(1).alias("page"), none.alias("section"), none.alias("subsection"), F.lit("text").alias("source_type"))
+    return context.assemble(rows)
+
+
+def context_assembly(spark, d):
+    return _assembled(spark, d).select("query_id", "source_count", "input_count", "reference_filtered_count", "duplicate_filtered_count")
+
+
+def context_texts(spark, d):
+    return _assembled(spark, d).select("query_id", "context_text", F.array_join(F.transform("sources", lambda s: s["id"].cast("string")), ",").alias("source_ids"))
 
 
 def citation_validation(spark, d):
@@ -302,17 +308,60 @@ def page_chunks(spark, d):
 
 
 def _layout(spark, d):
-    """Every document as a file of one page, its lines as blocks without boxes."""
-    blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(None).cast("array<double>").alias("bbox"), F.expr("cast(array() as array<struct<size:double,bold:boolean>>)").alias("spans")))
-    none = F.lit(None).cast("double")
-    tables = F.expr("cast(array() as array<struct<bbox:array<double>,rows:array<array<string>>>>)")
-    return layout.layout_chunks(document_chunks(spark, d).select(F.format_string("doc_%d.json", "chunk_id").alias("document"), F.lit(1).alias("page"), none.alias("width"), none.alias("height"), "text", blocks.alias("blocks"), tables.alias("tables")))
+    """Every document as a file of one page in two columns: its lines as blocks with boxes, every seventeenth bold and
+    larger, and for every fiftieth document a table over the page's foot."""
+
+    def block(x, i):
+        left, top = F.when(i % 60 < 30, 50.0).otherwise(320.0), (i % 30) * 22.0 + 40.0
+        font = F.struct(F.when(i % 17 == 0, 13.0).otherwise(10.0).alias("size"), (i % 17 == 0).alias("bold"))
+        return F.struct(x.alias("text"), F.array(left, top, left + 230.0, top + 12.0).alias("bbox"), F.array(font).alias("spans"))
+
+    rows = F.array(F.array(F.lit("COR"), F.lit("LOE"), F.lit("Recommendations")), F.array(F.lit("1"), F.lit("A"), F.lit("Walk daily.")), F.array(F.lit("2a"), F.lit("B-NR"), F.lit("Rest well.")))
+    table_of = F.struct(F.array(*[F.lit(x) for x in (40.0, 600.0, 560.0, 760.0)]).alias("bbox"), rows.alias("rows"))
+    tables = F.when(F.col("chunk_id") % 50 == 0, F.array(table_of)).otherwise(F.expr("cast(array() as array<struct<bbox:array<double>,rows:array<array<string>>>>)"))
+    name = F.when(F.col("chunk_id") % 3 == 0, F.format_string("aha acc %d.json", "chunk_id")).when(F.col("chunk_id") % 3 == 1, F.format_string("nice guideline %d.json", "chunk_id")).otherwise(F.format_string("doc_%d.json", "chunk_id"))
+    return layout.layout_chunks(document_chunks(spark, d).select(name.alias("document"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), "text", F.transform(F.split("text", "\n"), block).alias("blocks"), tables.alias("tables")))
 
 
 def layout_chunks(spark, d):
     return _layout(spark, d).select("document", "chunk_no", "chunk_id", "chunk_type", "section_id", "token_count", "recommendation_id", "grade_system")
 
 
+def short_page_chunks(spark, d):
+    """Page chunks of the older profile, which drops text pieces under 300 characters."""
+    return chunking.chunk_pages(_pages(spark, d), min_text=300).select("document", "page", "chunk_id", "section", "estimated_tokens")
+
+
+def _flat_chunks(spark, d):
+    """Documents as chunks of the positioned chunker, their kinds and labels made up from their numbers."""
+    c, none = document_chunks(spark, d), F.lit(None).cast("string")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("paragraph", "list_item", "recommendation", "table", "references", "appendix")]), (F.col("chunk_id") % 6 + 1).cast("int"))
+    path = F.when(F.col("chunk_id") % 4 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array("lang"))
+    return c.select(
+        F.col("document_id").alias("document"), F.lit("GENERIC").alias("doc_family"), F.col("chunk_id").alias("chunk_no"), F.col("chunk_id").cast("string").alias("chunk_id"), kind.alias("chunk_type"), "text",
+        T.estimate_tokens(F.col("text")).alias("token_count"), F.when(F.col("chunk_id") % 5 == 0, "A").alias("evidence_grade"), F.when(F.col("chunk_id") % 7 == 0, "high").alias("evidence_quality"),
+        F.when(F.col("chunk_id") % 8 == 0, "strong").alias("recommendation_strength"), F.lit(True).alias("embedding_eligible"), path.alias("section_path"), F.lit(1).alias("n_spans"),
+        F.when(F.col("chunk_id") % 9 == 0, "extracted").otherwise("generated").alias("recommendation_id_source"), F.lit(False).alias("noisy_path"), none.alias("spare"),
+    )
+
+
+def layout_statistics(spark, d):
+    r = layout.layout_report(_flat_chunks(spark, d))
+    return r.select("document", "chunk_count", "recommendation_chunks", "under_30", "under_50_excluding_atomic", "under_30_ratio", "median_chars", "average_tokens", "max_tokens", "chunks_over_char_target", "recommendation_evidence_grade_filled_ratio", "orphan_chunk_count", "recommendation_id_extracted_count", "broken_text_chunk_count", F.array_join("orphan_samples", ",").alias("orphan_samples"))
+
+
+def layout_totals(spark, d):
+    return layout.layout_totals(layout.layout_report(_flat_chunks(spark, d))).select("documents", *layout.COUNTERS, "under_30_ratio", "under_30_excluding_atomic_ratio", "orphan_chunk_ratio", "recommendation_strength_filled_ratio")
+
+
+def benchmark_methods(spark, d):
+    """All methods of a benchmark run over one pool, a made-up reranker among them."""
+    pool = _pool(spark, d)
+    direct = 1.0 / (1 + F.coalesce(F.col("bm25_rank"), F.lit(99)))
+    rows = benchmark_run(_lexical(spark, d), _dense(spark, d), pool, _gold(spark, d), {"lexical_first": direct})
+    return rows.select("query_id", "method", "hit_at_1", "recall_at_10", F.round("mrr", 6).alias("mrr"), "first_rank")
+
+
 def layout_report(spark, d):
     return layout.layout_report(_layout(spark, d)).select("document", "chunk_count", "under_30", "under_30_excluding_atomic", "median_tokens", "orphan_chunk_count")
 
@@ -323,8 +372,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         rrf_production_penalty, pool_gold_ceiling, missing_gold_anti, index_symmetric_diff, metrics_hit_per_query, metrics_fraction_per_query, metrics_method_summary,
         metrics_by_source_pivot, paired_win_tie_loss, gold_trace, gold_diagnosis, dedupe_first_wins, duplicate_text_groups, chunk_quality_report, corpus_quality_totals,
         short_chunk_thresholds, orphan_reasons, semantic_completeness, text_quality_flags, chunk_role, reference_only_filter, token_estimate_bins, repeated_line_detection,
-        heading_classification, page_line_filter, prev_next_links, stable_chunk_ids, context_assembly, citation_validation, out_of_scope_turns,
+        heading_classification, page_line_filter, prev_next_links, stable_chunk_ids, context_assembly, context_texts, citation_validation, out_of_scope_turns,
         minmax_relevance, mmr_top6, probability_rank, rerank_udf, manifest_override, legacy_id_consume, vector_upsert, sentence_packing, page_chunks,
-        layout_chunks, layout_report,
+        layout_chunks, layout_report, short_page_chunks, layout_statistics, layout_totals, benchmark_methods,
     )
     return {q.__name__: q for q in every}

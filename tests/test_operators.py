@@ -89,3 +89,22 @@ def test_report_helpers(spark):
 def test_profile():
     with pytest.raises(ValueError):
         Profile(rrf_weight=0.5)
+
+
+def test_pack_blocks_and_spans(spark):
+    from gneiss.operators import chunking
+
+    one = spark.createDataFrame([(["aaaa bbbb", "cccc", " ", "dddd eeee ffff"],)], "b array<string>")
+    assert one.select(chunking.pack_blocks(F.col("b"), 16, 4)).first()[0] == ["aaaa bbbb\n\ncccc", "cccc\n\ndddd eeee ffff"]
+    assert one.select(chunking.pack_blocks(F.col("b"), 300)).first()[0] == ["aaaa bbbb\n\ncccc\n\ndddd eeee ffff"]
+    spans = [(0.0, 10.0, 0.0, "Balance"), (10.2, 20.0, 0.0, "d"), (25.0, 40.0, 0.0, "training"), (42.0, 43.0, 0.0, ","), (50.0, 60.0, 0.0, "("), (62.0, 70.0, 0.0, "gait")]
+    row = spark.createDataFrame([(spans,)], "s array<struct<x0: double, x1: double, y0: double, text: string>>")
+    assert row.select(chunking.join_spans(F.col("s"))).first()[0] == "Balanced training, (gait"
+
+
+def test_suspicious_headings(spark):
+    from gneiss.functions.text import classify_heading
+    from gneiss.operators import report
+
+    lines = spark.createDataFrame([("d", 1, "1.1 Safety of exercise"), ("d", 2, "2.1 " + "Scope of things " * 9)], "document string, page int, line string").withColumn("heading", classify_heading(F.col("line")))
+    assert [(r.page, r.reason) for r in report.suspicious_headings(lines).collect()] == [(2, "long_heading")]
