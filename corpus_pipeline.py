@@ -7,9 +7,8 @@ input gives empty output. Rows are told apart by a row number of the stage's own
 a draw depends on a row, it depends on the row's content.
 
 1. ``language_id`` labels every text; texts without a letter (``und``) go, the label becomes ``lang``.
-2. ``near_dedup`` keeps one document of each SimHash group, the first by doc_id among those with one. The
-   rule is that of operator 10: fingerprints of three-word shingles, at most two differing bits. Copies
-   with more edits than that stay; five-word shingles at a similarity of 0.8 would differ by about ten bits.
+2. ``near_dedup`` keeps one document of each SimHash group, the first by doc_id among those with one. Groups
+   are those of five-word shingle sets at a similarity of 0.8 (``nearsets``), not of the two bits of ``op10_simhash``.
 3. ``pii`` replaces personal data by its kind in angle brackets and brings ``n_chars`` up to date.
 4. ``mixing`` repeats or leaves out documents so that sources come near their target weights.
 5. ``packing`` packs the tokens of what is left; it returns pieces with their sequence and offset.
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import langid, mixing, packing, pii, simhash
+from gneiss.llm import langid, mixing, nearsets, packing, pii
 from gneiss.llm.common import cut, keyed, read
 
 #: Rounding in stage 4 and the tokenizer in stage 5 are beyond SQL.
@@ -36,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs, "dedup-rows", ROW)
-    groups = simhash.simhash_groups(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    groups = nearsets.near_groups(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
     named = rows.select(ROW, "doc_id").join(groups, ROW)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
     stays = named.groupBy("group").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
