@@ -136,22 +136,24 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(classes: DataFrame, lanes: int = 32, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, small: int = 8) -> DataFrame:
+def links(classes: DataFrame, lanes: int = 32, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, small: int = 8, task_postings: int = 300_000) -> DataFrame:
     """``(id, component)`` of the nodes of ``classes(node long, fp array<long>)`` that have a link.
 
     Blocks of up to ``small`` open fingerprints are finished in one round; that changes no result."""
     bits, p = 64 * lanes, differing(similarity)
     whole, loose = _bound(bits, p, 1.5), _bound(64, _bound(bits, p, 1.5) / bits, 4)
-    plan = block_plan(classes.count(), bits, similarity, recall, seed)
-    every = postings(classes, plan, lanes)
+    count = classes.count()
+    plan = block_plan(count, bits, similarity, recall, seed)
+    # a task counts the keys it posts in memory, so tasks are dealt by the number of postings
+    every = postings(classes.repartition(1 + count * len(plan) // task_postings, "node"), plan, lanes)
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     posted = cut(every.join(shared, "key"), "near-posted")
     waiting, edges, roots, leaders = posted, None, None, 1
     while True:
-        sizes = waiting.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first"))
+        sizes = waiting.groupBy("key").agg(F.count("*").alias("m"), F.min(F.xxhash64("node")).alias("first"))
         chance = F.pmod(F.xxhash64("node", F.lit(leaders)), F.col("m")) < leaders
         finish = F.lit(leaders > 1) & (F.col("m") <= small)
-        lead = waiting.join(sizes, "key").where(finish | (F.col("node") == F.col("first.node")) | (F.lit(leaders > 1) & chance))
+        lead = waiting.join(sizes, "key").where(finish | (F.xxhash64("node") == F.col("first")) | (F.lit(leaders > 1) & chance))
         lead = cut(lead.select("key", F.col("node").alias("a"), F.col("word").alias("w"), finish.alias("last")), "near-lead")
         pairs = posted.join(lead, "key").where((F.col("a") != F.col("node")) & (_apart(F.col("w"), F.col("word")) <= loose))
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
