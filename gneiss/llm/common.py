@@ -43,7 +43,17 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that no plan reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drop_shuffles(spark: SparkSession) -> None:

@@ -77,6 +77,38 @@ def test_large_group_of_different_copies(spark):
     assert sorted(map(sorted, got.values())) == [list(range(400)), list(range(400, 412)), list(range(412, 424))]
 
 
+def test_large_blocks_of_texts_too_unlike_to_link(spark, monkeypatch):
+    """Texts with a base in common but too many edits leave their large blocks after the first round, the copies among them link."""
+    rng = np.random.default_rng(12)
+    base = " ".join(f"w{rng.integers(1 << 20)}" for _ in range(150))
+    rows = [(1000 + i, edited(rng, base, 6)) for i in range(400)]
+    rows += [(i, edited(rng, rows[20 * i][1], 1)) for i in range(20)]
+    real, leads = nearsets.cut, []
+
+    def cut(df, name, partition_by=None):
+        table = real(df, name, partition_by)
+        leads.extend([table.where("not last").count()] if name == "near-lead" else [])
+        return table
+
+    monkeypatch.setattr(nearsets, "cut", cut)
+    found = {r.doc_id: r.component_id for r in nearsets.near_groups(docs_of(spark, rows)).collect()}
+    assert found == roots_of(rows)
+    assert sum(leads[1:]) < 100
+
+
+def test_shared_parts_bound_what_texts_have_in_common(spark):
+    rng = np.random.default_rng(13)
+    base = " ".join(f"w{rng.integers(1 << 20)}" for _ in range(150))
+    texts = [edited(rng, base, int(k)) for k in rng.integers(1, 12, 40)] + ["", "one two", "one two three"]
+    sets = [nearsets.shingle_set(t.encode()) for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    parts = {r.node: r for r in nearsets.shared_parts(table, 5, 42).collect()}
+    assert {i: r.n for i, r in parts.items()} == {i: len(s) for i, s in enumerate(sets) if len(s)}
+    for i, a in enumerate(sets[:40]):
+        for j, b in enumerate(sets[:40]):
+            assert i == j or len(np.intersect1d(a, b)) <= np.minimum(parts[i].c, parts[j].c).sum() <= sum(parts[i].c)
+
+
 def test_rows_without_ids_repeats_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (7, text), (7, text), (3, text + " tail"), (None, None), (None, "alone")]
