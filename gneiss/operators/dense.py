@@ -3,7 +3,7 @@
 ``knn`` is an expression form for small pools, checked for their size. ``knn_blocks`` multiplies blocks
 of vectors with blocks of queries in Arrow batches: queries are dealt into blocks of a fixed size and
 every block meets every shard of vectors, so no side has to fit a broadcast; a task holds its queries
-and their best ``n`` so far. ``ranks_of`` counts nearer vectors the same way instead of ordering them.
+and their best ``n`` so far. ``ranks_of`` counts nearer vectors the same way instead of ordering them: those between two targets.
 """
 
 from __future__ import annotations
@@ -116,9 +116,9 @@ def ranks_of(vectors: DataFrame, queries: DataFrame, targets: DataFrame, skip_se
     def start(ids, rows, marks) -> dict:
         import numpy as np
 
-        owner = np.repeat(np.arange(len(ids)), [len(m) // 2 for m in marks])
-        flat = np.array([v for m in marks for v in m]).reshape(-1, 2)
-        return {"q": ids, "rows": rows, "owner": owner, "id": flat[:, 0].astype(np.int64), "far": np.round(flat[:, 1], 9), "n": np.zeros(len(flat), np.int64)}
+        # complex numbers are ordered by distance, then id
+        marks = [np.array(m).reshape(-1, 2) for m in marks]
+        return {"q": ids, "rows": rows, "marks": [np.sort(np.round(m[:, 1], 9) + 1j * m[:, 0]) for m in marks], "n": [np.zeros(len(m) + 1, np.int64) for m in marks]}
 
     def meet(state: dict, ids, x) -> None:
         import numpy as np
@@ -126,11 +126,23 @@ def ranks_of(vectors: DataFrame, queries: DataFrame, targets: DataFrame, skip_se
         far = np.round(1 - state["rows"] @ x.T, 9)
         if skip_self:
             far[state["q"][:, None] == ids[None]] = np.inf
-        for t, (owner, own, mark) in enumerate(zip(state["owner"], state["id"], state["far"], strict=True)):
-            state["n"][t] += ((ids != own) & ((far[owner] < mark) | ((far[owner] == mark) & (ids < own)))).sum()
+        for near, marks, n in zip(far, state["marks"], state["n"], strict=True):
+            real = np.isfinite(near)
+            at, seen = np.searchsorted(marks, near[real] + 1j * ids[real], side="right"), ids[real]
+            n += np.bincount(at, minlength=len(n))
+            # a target whose two distances round apart is not before itself
+            for i in np.flatnonzero(np.isin(seen, marks.imag)):
+                own = int(np.flatnonzero(marks.imag == seen[i])[0])
+                if at[i] <= own:
+                    n[own] -= 1
+                    n[own + 1] += 1
 
     def close(state: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(state["q"][state["owner"]]), pa.array(state["id"]), pa.array(state["n"])], ["query_id", "chunk_id", "n"])
+        import numpy as np
+
+        found = [np.zeros(0, np.int64), *[m.imag.astype(np.int64) for m in state["marks"]]]
+        counts = [np.zeros(0, np.int64), *[np.cumsum(n)[:-1] for n in state["n"]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(state["q"], [len(m) for m in state["marks"]])), pa.array(np.concatenate(found)), pa.array(np.concatenate(counts))], ["query_id", "chunk_id", "n"])
 
     nearer = _dealt(vectors, marked, shards, blocks).mapInArrow(lambda batches: _blocks(batches, start, meet, close), "query_id long, chunk_id long, n long")
     counts = nearer.groupBy("query_id", "chunk_id").agg((F.sum("n") + 1).cast("int").alias("rank"))

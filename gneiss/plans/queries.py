@@ -37,8 +37,12 @@ def bm25_idf(spark, d):
     return lexical.idf(docs, lexical.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _lexical(spark, d, n=20):
-    return lexical.top_lexical(document_chunks(spark, d), benchmark_queries(spark, d), n)
+def _weights(spark, d):
+    return lexical.weigh(document_chunks(spark, d), benchmark_queries(spark, d))
+
+
+def _lexical(spark, d, n=20, weights=None):
+    return lexical.top_lexical(document_chunks(spark, d), benchmark_queries(spark, d), n, weights=weights)
 
 
 def bm25_top20(spark, d):
@@ -46,10 +50,14 @@ def bm25_top20(spark, d):
 
 
 def _gold(spark, d):
-    """Documents that hold a passage; benchmark is a fixed small table, the side that is broadcast."""
+    """Documents that hold a passage; benchmark is a fixed small table, which every task holds."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return docs.join(b, F.contains("text", "passage")).select("query_id", "chunk_id")
+    return lexical.holders(document_chunks(spark, d), b)
+
+
+def _held_gold(spark, d):
+    """The same, found once (a job) and held by the driver: pairs of two numbers, for queries that look at it more than once."""
+    return spark.createDataFrame(_gold(spark, d).toArrow())
 
 
 def bm25_full_rank_gold(spark, d):
@@ -79,8 +87,8 @@ def dense_label_precision(spark, d):
     return hits.groupBy("query_id").agg(F.round(F.avg((F.col("found") == F.col("own")).cast("double")), 6).alias("precision_at_10"))
 
 
-def _pool(spark, d, p=BENCHMARK):
-    return hybrid(document_chunks(spark, d), benchmark_queries(spark, d), stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d), p)
+def _pool(spark, d, p=BENCHMARK, ranked=None):
+    return hybrid(document_chunks(spark, d), benchmark_queries(spark, d), stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d), p, ranked)
 
 
 def rrf_pool30(spark, d):
@@ -92,7 +100,7 @@ def rrf_production_penalty(spark, d):
 
 
 def pool_gold_ceiling(spark, d):
-    return evaluation.pool_ceiling(_pool(spark, d), _gold(spark, d))
+    return evaluation.pool_ceiling(_pool(spark, d), _held_gold(spark, d))
 
 
 def missing_gold_anti(spark, d):
@@ -104,13 +112,14 @@ def index_symmetric_diff(spark, d):
 
 
 def _methods(spark, d):
-    lex = _lexical(spark, d).select("query_id", "chunk_id", "rank", F.lit("bm25").alias("method"))
-    return lex.unionByName(_pool(spark, d).select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"), F.lit("rrf").alias("method")))
+    ranked = _lexical(spark, d, BENCHMARK.lexical_n)
+    lex = ranked.select("query_id", "chunk_id", "rank", F.lit("bm25").alias("method"))
+    return lex.unionByName(_pool(spark, d, ranked=ranked).select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"), F.lit("rrf").alias("method")))
 
 
-def _metric_rows(spark, d):
+def _metric_rows(spark, d, gold=None):
     methods = spark.createDataFrame([("bm25",), ("rrf",)], "method string")
-    return evaluation.metrics_hit(_methods(spark, d), _gold(spark, d), methods)
+    return evaluation.metrics_hit(_methods(spark, d), _held_gold(spark, d) if gold is None else gold, methods)
 
 
 def metrics_hit_per_query(spark, d):
@@ -119,7 +128,7 @@ def metrics_hit_per_query(spark, d):
 
 
 def metrics_fraction_per_query(spark, d):
-    return evaluation.metrics_fraction(_lexical(spark, d), _gold(spark, d)).select("query_id", "gold_count", "recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "mrr")
+    return evaluation.metrics_fraction(_lexical(spark, d), _held_gold(spark, d)).select("query_id", "gold_count", "recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "mrr")
 
 
 def metrics_method_summary(spark, d):
@@ -128,9 +137,10 @@ def metrics_method_summary(spark, d):
 
 def metrics_by_source_pivot(spark, d):
     """Categories are the source of each question's first gold document."""
-    first = _gold(spark, d).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    gold = _held_gold(spark, d)
+    first = gold.groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
     category = first.join(document_chunks(spark, d), "chunk_id").select("query_id", F.col("document_id").alias("category"))
-    p = evaluation.category_pivot(_metric_rows(spark, d), category, ["bm25", "rrf"])
+    p = evaluation.category_pivot(_metric_rows(spark, d, gold), category, ["bm25", "rrf"])
     return p.select("category", *[F.round(c, 6).alias(c) for c in ("bm25_mrr", "bm25_hit_at_1", "rrf_mrr", "rrf_hit_at_1")])
 
 
@@ -140,10 +150,10 @@ def paired_win_tie_loss(spark, d):
 
 
 def _trace(spark, d):
-    full = lexical.ranks_of(document_chunks(spark, d), benchmark_queries(spark, d), _gold(spark, d))
-    gold = _gold(spark, d)
+    weights, gold = _weights(spark, d), _held_gold(spark, d)
+    full = lexical.ranks_of(document_chunks(spark, d), benchmark_queries(spark, d), gold, weights)
     dense = ranks_of(stored_vectors(spark, d).select("chunk_id", "vec"), _query_vectors(spark, d), gold, skip_self=True)
-    return evaluation.gold_trace(gold, dense, full, _pool(spark, d))
+    return evaluation.gold_trace(gold, dense, full, _pool(spark, d, ranked=_lexical(spark, d, BENCHMARK.lexical_n, weights)))
 
 
 def gold_trace(spark, d):
@@ -234,7 +244,8 @@ def stable_chunk_ids(spark, d):
 
 def _assembled(spark, d):
     none = F.lit(None).cast("string")
-    rows = _pool(spark, d).where("rrf_rank <= 6").join(document_chunks(spark, d), "chunk_id").select("query_id", F.col("rrf_rank").alias("rank"), "chunk_id", "text", "document_id", F.lit(1).alias("page"), none.alias("section"), none.alias("subsection"), F.lit("text").alias("source_type"))
+    # A pool is as large as the queries; the side that is broadcast.
+    rows = document_chunks(spark, d).join(F.broadcast(_pool(spark, d).where("rrf_rank <= 6")), "chunk_id").select("query_id", F.col("rrf_rank").alias("rank"), "chunk_id", "text", "document_id", F.lit(1).alias("page"), none.alias("section"), none.alias("subsection"), F.lit("text").alias("source_type"))
     return context.assemble(rows)
 
 
@@ -275,7 +286,7 @@ def probability_rank(spark, d):
 
 def rerank_udf(spark, d):
     score = scorer(lambda: lambda q, t: [float(len(set(a.split()) & set(b.split()))) for a, b in zip(q, t, strict=True)])
-    pool = _pool(spark, d).join(document_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(benchmark_queries(spark, d), "query_id")
+    pool = document_chunks(spark, d).select("chunk_id", "text").join(F.broadcast(_pool(spark, d)), "chunk_id").join(benchmark_queries(spark, d), "query_id")
     return fusion.rerank(pool, score("query", "text")).select("query_id", "chunk_id", "pre_rerank_rank", "rank", "rerank_score")
 
 
@@ -356,9 +367,10 @@ def layout_totals(spark, d):
 
 def benchmark_methods(spark, d):
     """All methods of a benchmark run over one pool, a made-up reranker among them."""
-    pool = _pool(spark, d)
+    ranked = _lexical(spark, d, BENCHMARK.lexical_n)
+    pool = _pool(spark, d, ranked=ranked)
     direct = 1.0 / (1 + F.coalesce(F.col("bm25_rank"), F.lit(99)))
-    rows = benchmark_run(_lexical(spark, d), _dense(spark, d), pool, _gold(spark, d), {"lexical_first": direct})
+    rows = benchmark_run(ranked, _dense(spark, d), pool, _held_gold(spark, d), {"lexical_first": direct})
     return rows.select("query_id", "method", "hit_at_1", "recall_at_10", F.round("mrr", 6).alias("mrr"), "first_rank")
 
 

@@ -39,20 +39,24 @@ PRODUCTION = Profile()
 BENCHMARK = Profile(lexical_n=20, dense_weight=1.10, penalize=False, pool=30)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, p: Profile = PRODUCTION) -> DataFrame:
-    """Fused pool of every query. With ``penalize`` reference chunks are scaled in the lexical ranking and again in the fusion."""
-    quality = None
-    if p.penalize:
-        quality = chunks.select("chunk_id", reference_penalty(chunk_role(F.col("text"))).alias("penalty"))
-        chunks = chunks.withColumn("penalty", reference_penalty(chunk_role(F.col("text"))))
-    lexical = top_lexical(chunks, queries, p.lexical_n, penalty=p.penalize)
+def hybrid(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, p: Profile = PRODUCTION, lexical: DataFrame | None = None) -> DataFrame:
+    """Fused pool of every query. With ``penalize`` reference chunks are scaled in the lexical ranking and again in the fusion.
+    ``lexical`` is that ranking, if it was made before."""
+    quality, penalty = None, reference_penalty(chunk_role(F.col("text")))
+    chunks = chunks.withColumn("penalty", penalty) if p.penalize else chunks
+    lexical = top_lexical(chunks, queries, p.lexical_n, penalty=p.penalize) if lexical is None else lexical
     dense = knn_blocks(vectors, query_vectors, p.dense_n, skip_self=True)
+    if p.penalize:
+        # Only ranked chunks are judged again: as many as the queries have places; the side that is broadcast.
+        ranked = dense.select("chunk_id").unionByName(lexical.select("chunk_id")).distinct()
+        quality = chunks.drop("penalty").join(F.broadcast(ranked), "chunk_id", "left_semi").select("chunk_id", penalty.alias("penalty"))
     return fusion.rrf(dense, lexical, p.k, p.dense_weight, p.lexical_weight, quality, p.pool)
 
 
 def diversified(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, p: Profile = PRODUCTION) -> DataFrame:
     """Hybrid pool, relevance and MMR picks."""
-    pool = hybrid(chunks, queries, vectors, query_vectors, p).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    # A pool is as large as the queries; the side that is broadcast.
+    pool = chunks.select("chunk_id", "document_id").join(F.broadcast(hybrid(chunks, queries, vectors, query_vectors, p)), "chunk_id")
     pool = pool.join(vectors.select("chunk_id"), "chunk_id", "left_semi")
     rows = fusion.relevance(pool, vectors, query_vectors, p.rrf_weight, p.semantic_weight)
     return fusion.mmr(rows, p.final_k, p.pool, p.balance, p.per_document)

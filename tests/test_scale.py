@@ -4,8 +4,58 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.operators import lexical
+from gneiss.operators.dense import knn_blocks, ranks_of
 
 
 @pytest.mark.parametrize(("text", "issues"), [("Ganas y ías", ["trailing_connector"]), ("On enréon", ["trailing_connector"]), ("Walk as", ["trailing_connector"]), ("Walk bias", []), ("Walk _as", [])])
 def test_connector_after_accented_letter(spark, text, issues):
     assert spark.range(1).select(T.completeness(F.lit(text))["issues"].alias("i")).first().i == issues
+
+
+def test_words_in_arrow_tasks(spark):
+    """The same tokens as ``tokenize``, across texts, nulls and letters whose lower case is ASCII."""
+    import pyarrow as pa
+
+    texts = ["ends", "ab The cd", None, "", "3.5mg İx Kg É1a", "  z-9 "]
+    doc, code, words = lexical.encoded(pa.array(["skipped", *texts]).slice(1))
+    kept = [(d, w) for d, w in zip(doc.tolist(), [words[c].as_py() for c in code.tolist()], strict=True) if w != "the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.tokenize(F.col("t")).alias("w")).orderBy("i").collect()
+    assert kept == [(r.i, w) for r in rows for w in r.w]
+
+
+def test_no_posting_is_shuffled(spark):
+    """Ranking takes one exchange, of what a task has among its best; texts and postings stay where they are."""
+    chunks = spark.createDataFrame([(i, i, ("gait " if i in (4, 9) else "") + "pain scale sleep") for i in range(40)], "chunk_id long, corpus_pos long, text string")
+    queries = spark.createDataFrame([(1, "gait pain"), (2, "scale")], "query_id int, query string")
+    top = lexical.top_lexical(chunks, queries, 3)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan
+    assert [(r.query_id, r.chunk_id) for r in top.orderBy("query_id", "rank").collect()] == [(1, 4), (1, 9), (1, 0), (2, 4), (2, 9), (2, 0)]
+
+
+def test_ranks_by_counting(spark):
+    """Ranks of many targets, ties among them, equal those of the full order, without pairs of chunks and targets."""
+    chunks = spark.createDataFrame([(f"c{i}", i, "gait " * (i % 4) + "pain " * (i % 3) + "x") for i in range(60)] + [("none", 60, None)], "chunk_id string, corpus_pos long, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "gait"), (2, "pain gait x"), (3, "absent")], "query_id int, query string")
+    full = {(r.query_id, r.chunk_id): r["rank"] for r in lexical.top_lexical(chunks, queries, 1000).collect()}
+    asked = [(q, f"c{i}") for q in (1, 2, 3) for i in range(0, 60, 4)] + [(2, "none"), (9, "c1")]
+    ranked = lexical.ranks_of(chunks, queries, spark.createDataFrame(asked, "query_id int, chunk_id string"))
+    assert {(r.query_id, r.chunk_id): r["rank"] for r in ranked.collect()} == {k: full[k] for k in asked if k in full}
+    assert "Join" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_ranks_of_many_targets(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id long, vec array<double>")
+    q = v.where("chunk_id % 9 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    full = {(r.query_id, r.chunk_id): r["rank"] for r in knn_blocks(v, q, 100, True, shards=3).collect()}
+    targets = q.select("query_id").crossJoin(v.where("chunk_id % 2 = 0").select("chunk_id"))
+    found = {(r.query_id, r.chunk_id): r["rank"] for r in ranks_of(v, q, targets, True, shards=3).collect()}
+    assert found == {k: r for k, r in full.items() if k[1] % 2 == 0}
+
+
+def test_holders(spark):
+    chunks = spark.createDataFrame([(1, "before walk daily, rest. after"), (2, "walk daily, rests"), (3, "xwalk daily, rest"), (4, "Walk daily, rest"), (5, None), (6, "rest daily walk")], "chunk_id int, text string")
+    passages = spark.createDataFrame([("a", "walk daily, rest"), ("b", "rest."), ("c", ""), ("d", None)], "query_id string, passage string")
+    found = sorted((r.query_id, r.chunk_id) for r in lexical.holders(chunks, passages).collect())
+    assert found == [("a", 1), ("a", 2), ("a", 3), ("b", 1), *[("c", i) for i in (1, 2, 3, 4, 6)]]
