@@ -1,10 +1,13 @@
 """Cases that the small tables do not hold, and forms that must not grow faster than their input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from gneiss.functions import lines
 from gneiss.functions import text as T
-from gneiss.operators import lexical
+from gneiss.operators import chunking, lexical
 from gneiss.operators.dense import knn_blocks, ranks_of
 
 
@@ -59,3 +62,40 @@ def test_holders(spark):
     passages = spark.createDataFrame([("a", "walk daily, rest"), ("b", "rest."), ("c", ""), ("d", None)], "query_id string, passage string")
     found = sorted((r.query_id, r.chunk_id) for r in lexical.holders(chunks, passages).collect())
     assert found == [("a", 1), ("a", 2), ("a", 3), ("b", 1), *[("c", i) for i in (1, 2, 3, 4, 6)]]
+
+
+#: Parts of odd lines: white space of all kinds, ligatures, marks of layout, headings and prose.
+PARTS = [*"aB9_-. ,;:Éñß()[]^`{~", *" " * 8, "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u200b", "\u202f", "\u3000", "ﬁ", "ﬂ", "\xad", "\u0301", "…", "\x7f", "İ", "K", "€"]
+WORDS = ["table of contents", "1 ", "2.1 ", "3.2.1. ", "Scope of care", "Introduction", "KEY POINTS:", "M E T H O D S", "the", "were", "et al", " 2019", "Smith, J.", "doi", "PMID", "www.", "10.1234/x", "Page 7", "12", "..... 3", "Safety", "RESULTS AND MORE", "rest, ", "ISSN", "x" * 60]
+
+
+def odd_lines(n):
+    draw = random.Random(7)
+    return [None, "", *("".join(draw.choice(draw.choice((PARTS, WORDS))) for _ in range(draw.randint(0, 12))) for _ in range(n)), *("\n".join(draw.choice((" 12", "1 a", "word", "x.", "Two b", "y ...... 4", "2.1 Long heading here")) for _ in range(draw.randint(6, 16))) for _ in range(200))]
+
+
+def test_lines_in_arrow_tasks(spark):
+    """Each Python form equals its column form on odd lines."""
+    given = odd_lines(3000)
+    t = F.col("t")
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select(
+        "i", T.clean_line(t).alias("clean"), T.compare_key(t).alias("key"), T.squeeze(t).alias("squeezed"), T.clean_lines(t).alias("lines"), T.is_contents_page(t).alias("toc"), T.repair_word_per_line(t).alias("repaired"), T.classify_heading(t).alias("heading"), T.is_layout_line(t).alias("layout"), T.is_page_number(t).alias("number"), T.is_doi_or_url(t).alias("link")
+    ).orderBy("i").collect()
+    for r in rows:
+        raw = given[r.i]
+        text = raw or ""
+        own, clean = lines.clean_lines(raw), lines.clean_line(text)
+        joined = lines.repaired(own)
+        assert (clean, lines.line_key(clean), lines.squeeze(text), own) == (r.clean, r.key, r.squeezed, r.lines)
+        assert (lines.is_contents_page(text, own), joined is not None, raw if joined is None else joined) == (r.toc, r.repaired.repaired, r.repaired.text)
+        assert (lines.is_layout_key(lines.line_key(clean)), lines.is_page_number(clean), lines.is_doi_or_url(clean)) == (r.layout, r.number, r.link)
+        assert lines.heading(text) == (None if r.heading is None else r.heading.asDict()), repr(raw)
+    assert {r.heading.kind for r in rows if r.heading} == {"numbered", "local", "common", "caps"} and any(r.toc for r in rows) and any(r.repaired.repaired for r in rows)
+
+
+def test_lines_are_cleaned_once(spark):
+    """The filter on cleaned lines does not clean each of them again as a column."""
+    pages = spark.createDataFrame([("d", p, f"Running header line\nbody {p}\n\n\nwww.x.org\n7") for p in range(10)], "document string, page int, text string")
+    found = chunking.page_lines(pages)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.page, r.line_no, r.line) for r in found.collect()) == sorted((p, n, x) for p in range(10) for n, x in ((1, f"body {p}"), (2, "")))
