@@ -99,3 +99,13 @@ def test_lines_are_cleaned_once(spark):
     found = chunking.page_lines(pages)
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.page, r.line_no, r.line) for r in found.collect()) == sorted((p, n, x) for p in range(10) for n, x in ((1, f"body {p}"), (2, "")))
+
+
+def test_page_work_is_dealt_by_page(spark):
+    """Only running sections and chunk numbers hold a document in one task; texts are judged between."""
+    pages = spark.createDataFrame([("d", p, "1 Scope of the guideline\nSome text here." if p == 0 else f"Text of page {p}, which\nends on") for p in range(4)], "document string, page int, text string")
+    found = chunking.chunk_pages(pages)
+    assert "RepartitionByExpression [document" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.page, r.chunk_id, r.section, r.completeness_issues) for r in found.orderBy("chunk_id").collect()] == [
+        (0, "d_chunk_0001", "1 Scope of the guideline", []), *[(p, f"d_chunk_{p + 1:04d}", "1 Scope of the guideline", ["trailing_connector"]) for p in (1, 2, 3)]
+    ]
